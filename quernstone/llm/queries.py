@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import mixture, sstable
+from quernstone.llm import mixture, simhash, sstable
 from quernstone.llm.common import read
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"))
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select_mixture(read(spark, sf_dir, "documents"))
 
@@ -18,5 +22,5 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build_shards(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_source_mixture, op10_sstable_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash_near_dedup, op6_source_mixture, op10_sstable_shards)}
 ORACLES: dict[str, str] = {"op6_source_mixture": mixture.mixture_sql()}

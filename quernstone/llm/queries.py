@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import mixture, simhash, sstable
+from quernstone.llm import mixture, pieces, ppm, simhash, sstable
 from quernstone.llm.common import read
 
 
+def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify_languages(read(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"))
 
@@ -22,5 +30,5 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build_shards(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash_near_dedup, op6_source_mixture, op10_sstable_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op10_sstable_shards)}
 ORACLES: dict[str, str] = {"op6_source_mixture": mixture.mixture_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import mixture, pieces, ppm, simhash, sstable
+from quernstone.llm import mixture, pieces, ppm, readability, simhash, sstable
 from quernstone.llm.common import read
 
 
@@ -26,9 +26,13 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select_mixture(read(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build_shards(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op10_sstable_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op9_html_main_text, op10_sstable_shards)}
 ORACLES: dict[str, str] = {"op6_source_mixture": mixture.mixture_sql()}

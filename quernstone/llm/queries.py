@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import mixture, pieces, ppm, readability, simhash, sstable
+from quernstone.llm import mixture, pieces, ppm, readability, runindex, simhash, sstable
 from quernstone.llm.common import read
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "start", "stop", "first")
+
+
 def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify_languages(read(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build_shards(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op9_html_main_text, op10_sstable_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op9_html_main_text, op10_sstable_shards)}
 ORACLES: dict[str, str] = {"op6_source_mixture": mixture.mixture_sql()}

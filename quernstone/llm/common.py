@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -69,3 +70,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """From frames sorted by ``keys``: frames that hold whole groups only, with the offsets of their groups."""
+    held: list[pd.DataFrame] = []
+
+    def cuts(frame: pd.DataFrame) -> np.ndarray:
+        new = np.ones(len(frame) + 1, bool)
+        new[1:-1] = False
+        for k in keys:
+            v = frame[k].to_numpy()
+            new[1:-1] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for frame in frames:
+        if not len(frame):
+            continue
+        at = cuts(frame)
+        if held and any(frame[k].iat[0] != held[-1][k].iat[0] for k in keys):
+            whole = pd.concat(held, ignore_index=True)
+            yield whole, np.array([0, len(whole)])
+            held = []
+        if len(at) == 2:
+            held.append(frame)
+            continue
+        begin = at[1] if held else 0
+        if held:
+            whole = pd.concat([*held, frame.iloc[:begin]], ignore_index=True)
+            yield whole, np.array([0, len(whole)])
+        if at[-2] > begin:
+            yield frame.iloc[begin : at[-2]].reset_index(drop=True), at[(at >= begin) & (at <= at[-2])] - begin
+        held = [frame.iloc[at[-2] :]]
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, np.array([0, len(whole)])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import ctxmix, mixture, pieces, ppm, readability, runindex, simhash, sstable
+from quernstone.llm import crosspoly, ctxmix, mixture, pieces, ppm, readability, runindex, simhash, sstable
 from quernstone.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.select_mixture(read(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_pairs(read(spark, sf_dir, "embeddings"))
+
+
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctxmix.score(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build_shards(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op8_context_mixing, op9_html_main_text, op10_sstable_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op7_embedding_near_dedup, op8_context_mixing, op9_html_main_text, op10_sstable_shards)}
 ORACLES: dict[str, str] = {"op6_source_mixture": mixture.mixture_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import crosspoly, ctxmix, mixture, pieces, ppm, readability, runindex, simhash, sstable
+from quernstone.llm import crosspoly, ctxmix, mixture, nndescent, pieces, ppm, readability, runindex, simhash, sstable
 from quernstone.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "start", "stop", "first")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.neighbours_of_all(read(spark, sf_dir, "embeddings"))
+
+
 def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify_languages(read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build_shards(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op7_embedding_near_dedup, op8_context_mixing, op9_html_main_text, op10_sstable_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeated_passages, op2_nearest_neighbours, op3_ppm_language_id, op4_sentencepiece, op5_simhash_near_dedup, op6_source_mixture, op7_embedding_near_dedup, op8_context_mixing, op9_html_main_text, op10_sstable_shards)}
 ORACLES: dict[str, str] = {"op6_source_mixture": mixture.mixture_sql()}

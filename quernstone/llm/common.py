@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,11 @@ def safe_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def own_columns(df: DataFrame) -> dict[str, Column]:
+    """The columns of ``df`` by name, bound to it, so that a join with columns of the same names keeps them apart."""
+    return {c: df["`" + c.replace("`", "``") + "`"] for c in df.columns}
+
+
 def byte_batches(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts that hold about ``limit`` bytes together; a longer text is a range of its own."""
     first, held = 0, 0

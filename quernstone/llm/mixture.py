@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialise, safe_name
+from quernstone.llm.common import materialise, own_columns, safe_name
 
 LEVELS = ("domain", "lang", "source")
 #: Sources belong to one of three domains by their number; sources without a number to "other".
@@ -103,7 +103,7 @@ def apply_mixture(docs: DataFrame, **options) -> DataFrame:
     taken = select_mixture(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("lang").alias("_mix_lang"), F.col("source").alias("_mix_source"), F.col("tokens").alias("_mix_tokens"), F.col("copies").alias("_mix_copies")).distinct()
     again = safe_name(docs, "mix_copy")
     out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mix_id"]) & (F.coalesce(docs["lang"], F.lit("")) == taken["_mix_lang"]) & (F.coalesce(docs["source"], F.lit("")) == taken["_mix_source"]) & (token_count(docs["text"]) == taken["_mix_tokens"]))
-    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return out.withColumn(again, F.explode(F.sequence(F.lit(1), taken["_mix_copies"].cast("int")))).select(*own_columns(docs).values())
 
 
 def _cases(name: str, weights: dict[str, int]) -> str:

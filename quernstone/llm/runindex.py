@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialise, mix64, safe_name
+from quernstone.llm.common import materialise, mix64, own_columns, safe_name
 
 MIN_CHARS, GRAM = 200, 32
 #: Characters of windows indexed together in a task.
@@ -342,10 +342,14 @@ def cut_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     spans = repeated_passages(docs, min_chars).where(~F.col("first"))
     cuts = spans.groupBy(F.col("doc_id").alias("_cut_id"), F.col("sig").alias("_cut_sig")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
     out = docs.join(cuts, (docs["doc_id"] == cuts["_cut_id"]) & (F.xxhash64(docs["text"]) == cuts["_cut_sig"]), "left")
-    begins = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["stop"]))
-    ends = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length(docs["text"])))
-    text = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(docs["text"], a + 1, b - a)), ""))
+    found = cuts["_cuts"]
+    begins = F.concat(F.array(F.lit(0)), F.transform(found, lambda c: c["stop"]))
+    ends = F.concat(F.transform(found, lambda c: c["start"]), F.array(F.length(docs["text"])))
+    text = F.when(found.isNull(), docs["text"]).otherwise(F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(docs["text"], a + 1, b - a)), ""))
     new = safe_name(docs, "cut_text")
-    out = out.withColumn(new, text).where(F.col("_cuts").isNull() | F.col(new).rlike(r"\S"))
-    changed = {"text": F.col(new), "n_chars": F.when(F.col("_cuts").isNull(), docs["n_chars"]).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+    out = out.withColumn(new, text).where(found.isNull() | F.col(new).rlike(r"\S"))
+    kept = own_columns(docs)
+    kept["text"] = F.col(new).alias("text")
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(found.isNull(), docs["n_chars"]).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*kept.values())

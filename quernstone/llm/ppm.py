@@ -121,6 +121,8 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST)
     for i, levels in enumerate(counts):
         table = np.zeros((none, width))
         for n in range(order + 1):
+            if not len(kept[n]):
+                break
             pairs, times = levels[n]
             at = np.searchsorted(kept[n], pairs // width)
             hit = (at < len(kept[n])) & (kept[n][np.minimum(at, len(kept[n]) - 1)] == pairs // width)

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -84,8 +85,10 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _probes(key: bytes, count: int, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
-    return [((a << 32 | b) + i * (b << 17 ^ a * 0x85EBCA6B)) % bits for i in range(count)]
+    """Double hashing from the two halves of a 128-bit hash."""
+    h = xxhash.xxh3_128_intdigest(key)
+    a, b = h >> 64, h & (1 << 64) - 1 | 1
+    return [(a + i * b) % bits for i in range(count)]
 
 
 @dataclass

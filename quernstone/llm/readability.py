@@ -128,7 +128,8 @@ def _measure(nodes: list[Node]) -> None:
             if n.parent:
                 n.parent.chars += n.chars
                 n.parent.linked += n.linked
-                if n.tag not in _BLOCK:  # what is inline belongs to the block around it
+                if n.tag not in _BLOCK:  # what is inline belongs to the block around it, which counts its own text itself
+                    n.parent.chars -= n.own
                     n.parent.own += n.own
                     n.parent.commas += n.commas
 

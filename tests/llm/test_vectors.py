@@ -1,0 +1,144 @@
+"""Operators 2 and 7 against all pairs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tests.llm.conftest import rows_of
+
+from quernstone.llm import crosspoly, nndescent
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+ODD = [
+    (1, [1.0, 0.0, 0.0, 0.0], 0),
+    (2, [1.0, 0.0, 0.0, 0.0], 0),
+    (3, [2.0, 0.0, 0.0, 0.0], 0),
+    (4, [0.99, 0.05, 0.0, 0.0], None),
+    (4, [0.99, 0.05, 0.0, 0.0], None),
+    (5, [0.0, 1.0, 0.0, 0.0], 1),
+    (6, [-1.0, 0.0, 0.0, 0.0], 1),
+    (7, [0.0, 0.0, 0.0, 0.0], 1),
+    (8, [], 1),
+    (9, None, 1),
+    (10, [1.0, None, 0.0, 0.0], 1),
+    (11, [float("nan"), 1.0, 0.0, 0.0], 1),
+    (12, [float("inf"), 1.0, 0.0, 0.0], 1),
+    (13, [1.0, 0.0], 1),
+    (14, [1.0, 0.001], 1),
+    (None, [1.0, 0.0, 0.0, 0.0], 1),
+]
+
+
+def cluster(spark, n=700, d=64, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 10, d))
+    x = centres[rng.integers(0, len(centres), n)] + rng.standard_normal((n, d)) * rng.choice([0.05, 0.2, 0.35, 1.0], (n, 1))
+    x[n // 2 : n // 2 + 40] = x[0]
+    return x.astype(np.float32), spark.createDataFrame([(i, row.tolist(), 0) for i, row in enumerate(x)], SCHEMA)
+
+
+def unit(x):
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_near_pairs_are_found_and_true(spark):
+    x, vectors = cluster(spark)
+    cosine = unit(x) @ unit(x).T
+    i, j = np.nonzero(np.triu(cosine >= crosspoly.THRESHOLD, 1))
+    want = set(zip(i.tolist(), j.tolist(), strict=True))
+    got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in crosspoly.near_pairs(vectors).collect()}
+    assert all(abs(cosine[p] - c) < 1e-5 and c >= crosspoly.THRESHOLD for p, c in got.items())
+    assert len(got.keys() & want) >= 0.9 * len(want) and len(want) > 800
+    assert {p for p in want if cosine[p] > 1 - 1e-9} <= got.keys()
+
+
+def test_near_pairs_in_the_table(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = vectors.collect()
+    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows])
+    cosine = unit(x) @ unit(x).T
+    i, j = np.nonzero(np.triu(cosine >= crosspoly.THRESHOLD, 1))
+    want = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i, j, strict=True)}
+    got = {(r["vec_a"], r["vec_b"]) for r in crosspoly.near_pairs(vectors).collect()}
+    assert len(got & want) >= 0.9 * len(want) and got <= want | {p for p in got if p in want}
+
+
+def test_tiles_of_a_hot_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(crosspoly, "TILE", 7)
+    rng = np.random.default_rng(1)
+    x = (np.ones(16) + rng.standard_normal((60, 16)) * 0.01).astype(np.float32)
+    vectors = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], SCHEMA)
+    assert crosspoly.near_pairs(vectors).count() == 60 * 59 // 2
+
+
+def test_hadamard_is_orthogonal():
+    h = crosspoly.hadamard(np.eye(16, dtype=np.float32))
+    np.testing.assert_allclose(h @ h.T, np.eye(16), atol=1e-5)
+    assert set(np.unique(np.round(h * 4)).tolist()) == {-1.0, 1.0}
+
+
+def test_multiprobe_takes_the_cheapest_buckets():
+    x = unit(np.random.default_rng(5).standard_normal((30, 10))).astype(np.float32)
+    many, few = crosspoly.buckets(x, 3, 4, 7), crosspoly.buckets(x, 3, 1, 7)
+    assert (many[:, :, :1] == few).all() and all(len(set(b.tolist())) == 4 for v in many for b in v)
+
+
+def test_odd_vectors_in_near_pairs(spark):
+    odd = spark.createDataFrame(ODD, SCHEMA)
+    want = [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (13, 14)]
+    assert [r[:2] for r in rows_of(crosspoly.near_pairs(odd))] == sorted(want, key=repr)
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("id", "v", "unit", "bucket", "tile", "x", "dim")])
+    assert rows_of(crosspoly.near_pairs(clash)) == rows_of(crosspoly.near_pairs(odd))
+    assert crosspoly.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("noise", ["clusters", "table"])
+def test_every_row_finds_its_neighbours(spark, sf, noise):
+    if noise == "clusters":
+        x, vectors = cluster(spark, 600)
+        ids = list(range(len(x)))
+    else:
+        vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+        rows = vectors.collect()
+        ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows])
+    cosine = unit(x) @ unit(x).T
+    np.fill_diagonal(cosine, -2)
+    k = 10
+    floor = -np.sort(-cosine, axis=1)[:, k - 1]
+    at = {v: i for i, v in enumerate(ids)}
+    out = nndescent.neighbours_of_all(vectors, k).collect()
+    assert len(out) == len(ids) * k and {r["rank"] for r in out} == set(range(1, k + 1))
+    hits = sum(cosine[at[r["vec_id"]], at[r["neighbour_id"]]] >= floor[at[r["vec_id"]]] - 2e-3 for r in out)
+    assert hits >= 0.9 * len(out)
+    assert all(abs(cosine[at[r["vec_id"]], at[r["neighbour_id"]]] - r["cosine"]) < 5e-3 for r in out)
+
+
+def test_greedy_search_for_other_queries(spark):
+    x, vectors = cluster(spark, 600)
+    points = nndescent.prepare(vectors)
+    graph = nndescent.build_graph(points, trees=3, block=64)
+    rng = np.random.default_rng(9)
+    q = unit(x[rng.integers(0, len(x), 40)] + rng.standard_normal((40, 64)) * 0.1)
+    queries = nndescent.prepare(spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(q)], SCHEMA))
+    found = nndescent.search(points, graph, queries, rounds=10).collect()
+    cosine = q @ unit(x).T
+    floor = -np.sort(-cosine, axis=1)[:, 9]
+    best = {}
+    for r in found:
+        best.setdefault(r["id"], []).append((r["dist"], r["nb"]))
+    hits = sum(cosine[i, nb] >= floor[i] - 2e-3 for i, own in best.items() for _, nb in sorted(own)[:10])
+    assert hits >= 0.9 * 400
+
+
+def test_odd_vectors_in_search(spark):
+    odd = spark.createDataFrame(ODD, SCHEMA)
+    out = nndescent.neighbours_of_all(odd, 3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"]))
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    assert [n for _, n in sorted(got[1])] == [2, 3, 4] and [n for _, n in sorted(got[3])] == [1, 2, 4]
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("id", "v", "vec", "nb", "dist", "n", "fresh")])
+    assert rows_of(nndescent.neighbours_of_all(clash, 3)) == rows_of(out)
+    assert nndescent.neighbours_of_all(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert nndescent.neighbours_of_all(spark.createDataFrame(ODD[:1], SCHEMA)).count() == 0

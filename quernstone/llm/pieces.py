@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments kept in a worker; the older half goes when the newer is full.
 HELD = 200_000
+#: Lengths of the segments that are merged side by side; longer ones are merged alone.
+LANES = ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 40), (40, 64))
+NONE = np.int32(2**31 - 1)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -58,6 +62,49 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class _PairTable:
+    """(left symbol, right symbol) -> place of their union, for arrays; an open-addressed hash table."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.bits = max(4, (8 * len(pairs)).bit_length())
+        keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        self.keys, self.values = np.full((1 << self.bits) + 1024, -1, np.int64), np.full((1 << self.bits) + 1024, NONE, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            _, first = np.unique(at, return_index=True)
+            take = np.zeros(len(at), bool)
+            take[first] = True
+            take &= free
+            self.keys[at[take]], self.values[at[take]] = keys[take], values[take]
+            keys, values, at = keys[~take], values[~take], at[~take] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """NONE for a pair without a union, or where a symbol is negative."""
+        keys = left.astype(np.int64) << 16 | right
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], NONE)
+        open_ = np.nonzero((found != keys) & (found >= 0) & (keys >= 0))
+        if len(open_[0]):
+            keys, at = keys[open_], at[open_]
+            place = np.arange(len(keys))
+            values = np.full(len(keys), NONE, np.int32)
+            while len(place):
+                at = at + 1
+                found = self.keys[at]
+                hit = found == keys
+                values[place[hit]] = self.values[at[hit]]
+                more = ~hit & (found >= 0)
+                place, keys, at = place[more], keys[more], at[more]
+            out[open_] = values
+        out[(left < 0) | (right < 0)] = NONE
+        return out
+
+
 class Codec:
     """One merge-type model with byte fallback, identity normalisation, a space put in front and none removed; ValueError for any other."""
 
@@ -78,6 +125,18 @@ class Codec:
         self.byte_ids = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         special = {i for i in range(size) if self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i)}
         self.rank = {p: (-self.library.get_score(i), i) for i, p in enumerate(self.pieces) if i not in special}
+        order = sorted(self.rank, key=self.rank.__getitem__)
+        if len(order) > 1 << 16:
+            raise ValueError("models with more than 65536 pieces aren't supported")
+        place = {p: r for r, p in enumerate(order)}
+        self.id_of = [self.rank[p][1] for p in order]
+        self.single = {p: r for p, r in place.items() if len(p) == 1}
+        self.pair = {place[p[:k]] << 16 | place[p[k:]]: r for p, r in place.items() for k in range(1, len(p)) if p[:k] in place and p[k:] in place}
+        self.table = _PairTable(self.pair)
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for c, r in self.single.items():
+            self.symbol[ord(c)] = r
+        self.ids = np.array(self.id_of, "<i4")
         self.unpieced = [("" if i in special else p.replace(SPACE, " ")) for i, p in enumerate(self.pieces)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         crossing = any(a != SPACE and b == SPACE for p in self.rank for a, b in zip(p, p[1:], strict=False))
@@ -88,38 +147,92 @@ class Codec:
         self.old: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[int]:
-        """Ids of a text in which spaces are already replaced."""
-        rank = self.rank
-        symbols: list[str | None] = list(text)
+        """Ids of a text in which spaces are already replaced. Symbols are the places of their pieces in the order of merging, -1 for what is no piece."""
+        pair, single = self.pair, self.single
+        symbols = [single.get(c, -1) for c in text]
         n = len(symbols)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(*found, i, a + b) for i, (a, b) in enumerate(zip(text, text[1:], strict=False)) if (found := rank.get(a + b))]
-        heapq.heapify(agenda)
-        # entries: minus score, id, place of the left symbol, the union; scores tie only for the same piece
-        while agenda:
-            _, _, i, union = heapq.heappop(agenda)
-            a = symbols[i]
-            j = right[i]
-            if a is None or j >= n or len(a) >= len(union) or a + symbols[j] != union:
-                continue
-            symbols[i], symbols[j] = union, None
-            k = right[i] = right[j]
-            if k < n:
-                left[k] = i
-                if found := rank.get(union + symbols[k]):
-                    heapq.heappush(agenda, (*found, i, union + symbols[k]))
-            h = left[i]
-            if h >= 0 and (found := rank.get(symbols[h] + union)):
-                heapq.heappush(agenda, (*found, h, symbols[h] + union))
+        # entries: the union's place, then that of its left symbol; one is out of date if the two there no longer make this union
+        agenda = [union << 32 | i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (union := pair.get(a << 16 | b, -1)) >= 0]
+        if agenda:
+            heapq.heapify(agenda)
+            left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+            symbols.append(-1)  # nothing joins the end
+            pop, push = heapq.heappop, heapq.heappush
+            while agenda:
+                entry = pop(agenda)
+                union, i = entry >> 32, entry & 0xFFFFFFFF
+                a = symbols[i]
+                if a < 0:
+                    continue
+                j = right[i]
+                if pair.get(a << 16 | symbols[j], -1) != union:
+                    continue
+                symbols[i], symbols[j] = union, -2
+                k = right[i] = right[j]
+                if k < n:
+                    left[k] = i
+                    if (more := pair.get(union << 16 | symbols[k], -1)) >= 0:
+                        push(agenda, more << 32 | i)
+                h = left[i]
+                if h >= 0 and (more := pair.get(symbols[h] << 16 | union, -1)) >= 0:
+                    push(agenda, more << 32 | h)
+            symbols.pop()
+        id_of = self.id_of
+        if min(symbols, default=0) >= 0:
+            return [id_of[x] for x in symbols]
         ids: list[int] = []
-        for s in symbols:
-            if s is not None:
-                if found := rank.get(s):
-                    ids.append(found[1])
-                else:
-                    ids.extend(self.byte_ids[b] for b in s.encode("utf-8", "replace"))
+        for c, x in zip(text, symbols, strict=True):
+            if x >= 0:
+                ids.append(id_of[x])
+            elif x == -1:
+                ids.extend(self.byte_ids[b] for b in c.encode("utf-8", "replace"))
         return ids
 
+    def merge_all(self, segments: list[str]) -> list[list[int]]:
+        """merge() of each segment. Those of up to 64 characters pop their agendas together: a lane's agenda is a row with the place in order of each
+        neighbouring pair's union, of which every lane takes the least, the leftmost of equals, in one step."""
+        out: list[list[int] | None] = [None] * len(segments)
+        size = np.array([len(x) for x in segments], np.int64)
+        for low, high in LANES:
+            own = np.flatnonzero((size > low) & (size <= high))
+            if not len(own):
+                continue
+            codes = np.frombuffer("".join([segments[i] for i in own]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            rows = np.full((len(own), high + 1), -2, np.int32)
+            rows[np.arange(high + 1) < size[own][:, None]] = self.symbol[codes]
+            known = (rows != -1).all(axis=1)
+            own, rows = own[known], rows[known]
+            if not len(own):
+                continue
+            # in an agenda's last place stands no pair, so that a row with nothing left to join has its least there
+            agenda = np.full(rows.shape, NONE, np.int32)
+            agenda[:, :-1] = self.table.find(rows[:, :-1], rows[:, 1:])
+            while len(own):
+                at = agenda.argmin(axis=1)
+                lane = np.arange(len(own))
+                union = agenda[lane, at]
+                if (ended := union == NONE).any():
+                    done = rows[ended]
+                    used = done >= 0
+                    flat = self.ids[done[used]].tolist()
+                    ends = np.cumsum(used.sum(axis=1)).tolist()
+                    begin = 0
+                    for i, end in zip(own[ended].tolist(), ends, strict=True):
+                        out[i] = flat[begin:end]
+                        begin = end
+                    own, rows, agenda, at, union = own[~ended], rows[~ended], agenda[~ended], at[~ended], union[~ended]
+                    if not len(own):
+                        break
+                    lane = np.arange(len(own))
+                rows[lane, at] = union
+                keep = np.arange(rows.shape[1]) != at[:, None] + 1
+                rows, agenda = rows[keep].reshape(len(own), -1), agenda[keep].reshape(len(own), -1)
+                last = rows.shape[1] - 1
+                agenda[lane, at] = np.where(at < last, self.table.find(union, rows[lane, np.minimum(at + 1, last)]), NONE)
+                inner = np.flatnonzero(at)
+                agenda[inner, at[inner] - 1] = self.table.find(rows[inner, at[inner] - 1], union[inner])
+        return [self.merge(x) if ids is None else ids for x, ids in zip(segments, out, strict=True)]
+
     def encode_batch(self, texts: list[str | None]) -> tuple[list[bytes | None], list[bool | None]]:
         """Of each text its ids as little-endian int32, and whether the library gives the same for all of its segments; None for None."""
         parts = [None if t is None else self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -128,16 +241,18 @@ class Codec:
         held, check = {}, []
         for s in fresh:
             if (v := self.old.get(s)) is None:
-                v = np.array(self.merge(s), "<i4").tobytes()
                 check.append(s)
-            held[s] = v
+            else:
+                held[s] = v
+        merged = self.merge_all(check)
+        held.update((s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in zip(check, merged, strict=True))
         # a segment without the leading space mark is put after one that no piece joins to it
         prefix = "\n"
         marked = [s[1:].replace(SPACE, " ") if s[0] == SPACE and len(s) > 1 else None for s in check]
         own = [prefix + s.replace(SPACE, " ") if m is None else m for m, s in zip(marked, check, strict=True)]
         front = len(self.library.encode(prefix))
-        for s, m, ids in zip(check, marked, self.library.encode(own, num_threads=1), strict=True):
-            if held[s] != np.array(ids if m is not None else ids[front:], "<i4").tobytes():
+        for s, m, ours, ids in zip(check, marked, merged, self.library.encode(own, num_threads=1), strict=True):
+            if ours != (ids if m is not None else ids[front:]):
                 wrong.add(s)
         if len(self.new) + len(held) > HELD:
             self.old, self.new = self.new, {}

@@ -28,7 +28,7 @@ def brute(codec, text):
 def texts():
     rng = random.Random(9)
     letters = "abcdefgh  \n\t,.éüß你好\U0001f600\x00 <>0123"
-    return ["", " ", "  two  spaces ", "\n\nlines\r\n", "Hello, world!"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(150)] + [sentence(rng, 30) for _ in range(20)]
+    return ["", " ", "x" * 500, "banana" * 60 + "你", "  two  spaces ", "\n\nlines\r\n", "Hello, world!"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(150)] + [sentence(rng, 30) for _ in range(20)]
 
 
 def test_agenda_equals_brute_force_and_the_library(library):
@@ -60,6 +60,15 @@ def test_decoding_column(spark, odd_docs):
     assert rows_of(none) == [("",), (None,)]
 
 
+def test_lanes_equal_single_agendas():
+    codec = pieces.Codec()
+    rng = random.Random(11)
+    segments = ["▁" + "".join(rng.choice("aabcdeinorst▁你q") for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    assert codec.merge_all(segments) == [codec.merge(s) for s in segments]
+    for s in segments[:300]:
+        assert codec.merge(s) == brute(codec, s[1:].replace("▁", " ")) or not s[1:]
+
+
 def test_worker_memory_turns_over(monkeypatch):
     monkeypatch.setattr(pieces, "HELD", 20)
     codec = pieces.Codec()

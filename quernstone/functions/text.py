@@ -103,7 +103,7 @@ def drop_echo(c: Column) -> Column:
 
 
 def image_content(caption: Column, ocr: Column, description: Column, context: Column) -> Column:
-    """What an image's chunk says; '' if there is nothing but the page's context."""
+    """What an image's chunk says, behind its page's context; '' if there is neither."""
     sections = [F.concat(F.lit(label), given(filled(value))) for label, value in (("Caption: ", caption), ("OCR Text: ", ocr), ("Description: ", description))]
     return drop_echo(F.concat_ws("\n\n", given(filled(context)), *sections))
 

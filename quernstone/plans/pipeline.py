@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
@@ -75,6 +76,12 @@ class Pipeline:
     def process(self, path: str) -> Result:
         return self.process_batch(path)
 
+    def report(self, result: Result, on_progress: Callable[[str, str | None], None]) -> None:
+        """Call ``on_progress(path, error)`` for each document as they come; what the callback raises is ignored."""
+        for r in result.documents.select("path", "error").toLocalIterator():
+            with contextlib.suppress(Exception):
+                on_progress(r["path"], r["error"])
+
     def process_files(self, files: DataFrame) -> Result:
         """files (path, content). A file that can't be read is a document with an error."""
         c = self.config

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from quernstone.operators import runs
+
 PARTS = ("images", "chunks", "documents")
 
 
@@ -39,3 +42,29 @@ class Store:
             vec = F.concat(F.lit(f',"{vector}":'), F.coalesce(F.to_json(F.col(vector)), F.lit("null")), F.lit("}"))
             line = F.concat(F.substring(line, F.lit(1), F.length(line) - 1), vec)
         docs.select(F.col("doc_id").alias("doc"), line.alias("value")).write.mode("append").partitionBy("doc").text(self.path(name))
+
+    def split(self, name: str, docs: DataFrame, skip_existing: bool = True) -> DataFrame:
+        """Write the index documents that aren't there yet and return the run's split_stats().
+
+        What a task fails to write fails the job, so ``failed`` is 0 where there is a result. ``docs`` may carry ``shrunk``."""
+        if "shrunk" not in docs.columns:
+            docs = docs.withColumn("shrunk", F.lit(False))
+        status = F.lit("created")
+        if skip_existing and (old := self._written(name)) is not None:
+            known = old.select(F.col("doc_name").alias("_doc"), F.col("id").alias("_id"))
+            docs = docs.join(known, (F.col("doc_id") == F.col("_doc")) & (F.col("id") == F.col("_id")), "left")
+            status = F.when(F.col("_id").isNull(), "created").otherwise("skipped")
+        marked = docs.withColumn("status", status).drop("_doc", "_id").persist(StorageLevel.DISK_ONLY)
+        stats = runs.split_stats(marked).collect()
+        self.write_json(name, marked.where("status = 'created'").drop("status", "shrunk"))
+        marked.unpersist()
+        return self.spark.createDataFrame(stats)
+
+    def _written(self, name: str) -> DataFrame | None:
+        try:
+            lines = self.spark.read.text(self.path(name))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        return lines.select(F.get_json_object("value", "$.doc_id").alias("doc_name"), F.get_json_object("value", "$.id").alias("id")).distinct()

@@ -30,6 +30,8 @@ SAMPLE_PER_LANGUAGE = 200
 #: Bits a byte in the best language, above which a document is in none of them.
 REJECT_ABOVE = 6.0
 BATCH_BYTES = 1 << 20
+#: Contexts tabulated at once, which bounds what the driver needs beside the tables themselves.
+CONTEXTS = 2048
 RESULT = "lang string, bits_per_byte double, margin double, accepted boolean"
 
 
@@ -119,7 +121,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST)
         child[up, kept[n] // width ** (n - 1)] = np.arange(base[n], base[n + 1])
     cost = np.zeros((none + 1, width, len(languages)), np.float32)
     for i, levels in enumerate(counts):
-        table = np.zeros((none, width))
+        table = np.zeros((none, width), np.float32)
         for n in range(order + 1):
             if not len(kept[n]):
                 break
@@ -127,33 +129,32 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST)
             at = np.searchsorted(kept[n], pairs // width)
             hit = (at < len(kept[n])) & (kept[n][np.minimum(at, len(kept[n]) - 1)] == pairs // width)
             table[base[n] + at[hit], pairs[hit] % width] = times[hit]
-        cost[:none, :, i] = _code_lengths(table, suffix, base)
+        _code_lengths(table, suffix, base, cost[:none, :, i])
     return Model(languages, classes, child, cost, order)
 
 
-def _code_lengths(table: np.ndarray, suffix: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """(context, class) bits of one language; a context it doesn't have costs what its longest suffix that it has does."""
-    out, rest = np.zeros(table.shape), np.zeros(table.shape)  # rest: bits of a class after the escape from the context
-    root = table[0]
-    unseen = 256 - int((root > 0).sum())
+def _code_lengths(table: np.ndarray, suffix: np.ndarray, base: np.ndarray, out: np.ndarray) -> None:
+    """Fill ``out`` with the (context, class) bits of one language; a context it doesn't have costs what its longest suffix that it has does."""
+    rest = np.zeros(table.shape, np.float32)  # bits of a class after the escape from the context
+    unseen = 256 - int((table[0] > 0).sum())
     rest[0] = np.log2(max(1, unseen))
     for n in range(len(base) - 1):
-        own = np.arange(base[n], base[n + 1])
-        times = table[own]
-        has = times.sum(axis=1) > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
+        for first in range(base[n], base[n + 1], CONTEXTS):
+            own = np.arange(first, min(first + CONTEXTS, base[n + 1]))
+            times = table[own].astype(np.float64)
+            has = times.sum(axis=1) > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                if n:
+                    up = suffix[own]
+                    above = np.where(times > 0, 0, table[up])
+                    q, total = (above > 0).sum(axis=1), above.sum(axis=1)
+                    escape = np.where(q > 0, -np.log2(q / (total + q)), 0)[:, None]
+                    rest[own] = np.where(above > 0, -np.log2(above / (total + q)[:, None]), escape + rest[up])
+                q, total = (times > 0).sum(axis=1), times.sum(axis=1)
+                coded = np.where(times > 0, -np.log2(times / (total + q)[:, None]), -np.log2(q / (total + q))[:, None] + rest[own])
             if n:
-                up = suffix[own]
-                above = np.where(times > 0, 0, table[up])
-                q, total = (above > 0).sum(axis=1), above.sum(axis=1)
-                escape = np.where(q > 0, -np.log2(q / (total + q)), 0)[:, None]
-                rest[own] = np.where(above > 0, -np.log2(above / (total + q)[:, None]), escape + rest[up])
-            q, total = (times > 0).sum(axis=1), times.sum(axis=1)
-            coded = np.where(times > 0, -np.log2(times / (total + q)[:, None]), -np.log2(q / (total + q))[:, None] + rest[own])
-        if n:
-            coded[~has] = out[suffix[own[~has]]]
-        out[own] = coded
-    return out
+                coded[~has] = out[suffix[own[~has]]]
+            out[own] = coded
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[bytes]]:

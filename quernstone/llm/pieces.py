@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm.common import lean
+
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments kept in a worker; the older half goes when the newer is full.
-HELD = 200_000
+#: Segments kept during a task; the older half goes when the newer is full.
+HELD = 100_000
 #: Lengths of the segments that are merged side by side; longer ones are merged alone.
 LANES = ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 40), (40, 64))
 NONE = np.int32(2**31 - 1)
@@ -66,7 +68,7 @@ class _PairTable:
     """(left symbol, right symbol) -> place of their union, for arrays; an open-addressed hash table."""
 
     def __init__(self, pairs: dict[int, int]):
-        self.bits = max(4, (8 * len(pairs)).bit_length())
+        self.bits = max(4, (2 * len(pairs)).bit_length())
         keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
         self.keys, self.values = np.full((1 << self.bits) + 1024, -1, np.int64), np.full((1 << self.bits) + 1024, NONE, np.int32)
         at = self._slot(keys)
@@ -265,6 +267,10 @@ class Codec:
             self.new.pop(s, None)
         return out, agree
 
+    def forget(self) -> None:
+        """Drop the segments held."""
+        self.new, self.old = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; runs of byte pieces are decoded together, what isn't UTF-8 becoming U+FFFD, and the space in front goes."""
         joined = "".join(map(self.unpieced.__getitem__, ids))
@@ -316,6 +322,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text:
     kind = docs.schema[id_column].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType()), T.StructField("library_agrees", T.BooleanType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for whole in batches:
@@ -331,6 +338,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text:
                 trip = [None if t is None else c.decode(np.frombuffer(b, "<i4").tolist()) == t for t, b in zip(texts, blobs, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes, pa.int32(), mask=none), pa.array(trip, pa.bool_()), pa.array(agree, pa.bool_())], names=schema.names)
+        c.forget()
 
     return docs.select(F.col(id_column), F.col(text)).mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import byte_batches, joined
+from quernstone.llm.common import byte_batches, joined, lean
 
 ORDER = 4
 #: Longest contexts must occur this often in the sample of one language.
@@ -178,6 +178,7 @@ def identify(text: Column, model, reject_above: float = REJECT_ABOVE) -> Column:
     """
 
     @F.pandas_udf(RESULT)
+    @lean
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = model.value
         for texts in parts:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialise, mix64, own_columns, safe_name
+from quernstone.llm.common import lean, materialise, mix64, own_columns, safe_name
 
 MIN_CHARS, GRAM = 200, 32
 #: Characters of windows indexed together in a task.
@@ -228,6 +228,7 @@ def repeats(texts: list[str], lo: np.ndarray, hi: np.ndarray, least: int) -> lis
 
 
 def _anchor_rows(least: int):
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             held: list[tuple] = []
@@ -252,6 +253,7 @@ def _table(held: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": np.repeat(np.array([x[0] for x in held], np.int64), n), "sig": np.repeat(np.array([x[1] for x in held], np.int64), n), "anchor": columns[0].view(np.int64), "print": columns[1].view(np.int64), "a": columns[2].astype(np.int32), "b": columns[3].astype(np.int32)})
 
 
+@lean
 def _cut_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows, size = [], 0
@@ -275,6 +277,7 @@ def _index_windows(least: int):
         at = np.array([f[0] for f in found], np.int64)
         return pd.DataFrame({"anchor": all_["anchor"].to_numpy()[at], "print": all_["print"].to_numpy()[at], "start": np.array([f[1] for f in found], np.int32), "stop": np.array([f[2] for f in found], np.int32), "first": np.array([f[3] for f in found], bool)}, columns=names)
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Windows come sorted by anchor; an index takes whole anchors until it has enough characters."""
         held: list[pd.DataFrame] = []

@@ -130,6 +130,20 @@ def test_greedy_search_for_other_queries(spark):
     assert hits >= 0.9 * 400
 
 
+def test_search_goes_on_until_no_beam_has_a_new_node(spark):
+    x = [[float(np.cos(a)), float(np.sin(a))] for a in np.linspace(0, np.pi / 2, 8)]
+    points = nndescent.prepare(spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], SCHEMA))
+    chain = spark.createDataFrame([(i, j, 0.0) for i in range(8) for j in (i - 1, i + 1) if 0 <= j < 8], nndescent.EDGES)
+    query = points.where("id = 7")
+    start = spark.createDataFrame([(7, 0, 1.0)], nndescent.EDGES)
+    found = nndescent.search(points, chain, query, start=start).collect()
+    assert min((r["dist"], r["nb"]) for r in found)[1] == 7
+
+
+def test_larger_tables_have_wider_beams():
+    assert [nndescent.width(n) for n in (0, 1, 2000, 1 << 16, (1 << 16) + 1, 150_000, 300_000)] == [48, 48, 48, 48, 64, 80, 96]
+
+
 def test_odd_vectors_in_search(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
     out = nndescent.neighbours_of_all(odd, 3)

@@ -14,6 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -39,6 +42,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send Arrow batches of fewer rows, unless the session already asks for few: whole texts are long, and both sides of the pipe hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def lean(run):
     """A worker's generator that gives memory back to the system when its task ends: workers are used again, beside others that wait."""
 

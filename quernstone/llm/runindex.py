@@ -29,6 +29,8 @@ from quernstone.llm.common import lean, materialise, mix64, own_columns, safe_na
 MIN_CHARS, GRAM = 200, 32
 #: Characters of windows indexed together in a task.
 INDEX_CHARS = 1 << 20
+#: Powers that a worker keeps.
+MOST_KEPT = 1 << 19
 _BASE = 0xC6A4A7935BD1E995
 _KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 ANCHORS = "doc_id long, sig long, anchor long, print long, a int, b int"
@@ -36,6 +38,8 @@ ANCHORS = "doc_id long, sig long, anchor long, print long, a int, b int"
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0 to n - 1 of the base and of its inverse, modulo 2**64."""
+    if n > MOST_KEPT:
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
     if len(_KEPT[0]) < n:
         for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(max(n, 1 << 16), x, np.uint64)

@@ -14,8 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,10 +43,11 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send Arrow batches of fewer rows, unless the session already asks for few: whole texts are long, and both sides of the pipe hold a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Bound the bytes of an Arrow batch, unless the session already asks for fewer: texts are long, and both sides of the pipe hold a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    asked = spark.conf.get(name).rstrip("b")
+    if not asked.isdigit() or int(asked) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def lean(run):

@@ -21,15 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import byte_batches, joined, lean
+from quernstone.llm.common import byte_batches, joined, lean, small_batches
 
 ORDER = 4
-#: Longest contexts must occur this often in the sample of one language.
+#: A context of any length but none must occur this often in the sample of one language.
 LEAST = 3
 SAMPLE_PER_LANGUAGE = 200
 #: Bits a byte in the best language, above which a document is in none of them.
 REJECT_ABOVE = 6.0
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
+#: Costs are kept as whole numbers of 1 / UNITS bits.
+UNITS = 1024
 #: Contexts tabulated at once, which bounds what the driver needs beside the tables themselves.
 CONTEXTS = 2048
 RESULT = "lang string, bits_per_byte double, margin double, accepted boolean"
@@ -38,7 +40,7 @@ RESULT = "lang string, bits_per_byte double, margin double, accepted boolean"
 @dataclass
 class Model:
     """classes: byte -> class (1 and more; the last is for bytes that no sample had; 0 stands for what precedes a text). child: (state, class) -> state one byte longer, the last
-    state meaning none. cost: (state, class, language) -> bits."""
+    state meaning none. cost: (state, class, language) -> bits in UNITS."""
 
     languages: list[str]
     classes: np.ndarray
@@ -68,7 +70,7 @@ class Model:
                 state = np.where(node != none, node, state)
             rows = costs[state * width + own]
             full = np.flatnonzero(np.diff(offsets))
-            total[first + full] = np.add.reduceat(rows, offsets[full], axis=0, dtype=np.float64)
+            total[first + full] = np.add.reduceat(rows, offsets[full], axis=0, dtype=np.int64) / UNITS
         return total
 
 
@@ -77,7 +79,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST)
     samples = {k: [t for t in v if t] for k, v in samples.items()}
     languages = sorted(k for k, v in samples.items() if v)
     if not languages:
-        return Model([], np.ones(256, np.int32), np.ones((2, 2), np.int32), np.zeros((2, 2, 0), np.float32), order)
+        return Model([], np.ones(256, np.int32), np.ones((2, 2), np.int32), np.zeros((2, 2, 0), np.uint16), order)
     seen = np.zeros(256, bool)
     for k in languages:
         for t in samples[k]:
@@ -119,7 +121,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST)
         up = base[n - 1] + np.searchsorted(kept[n - 1], kept[n] % width ** (n - 1))
         suffix[base[n] : base[n + 1]] = up
         child[up, kept[n] // width ** (n - 1)] = np.arange(base[n], base[n + 1])
-    cost = np.zeros((none + 1, width, len(languages)), np.float32)
+    cost = np.zeros((none + 1, width, len(languages)), np.uint16)
     for i, levels in enumerate(counts):
         table = np.zeros((none, width), np.float32)
         for n in range(order + 1):
@@ -153,8 +155,8 @@ def _code_lengths(table: np.ndarray, suffix: np.ndarray, base: np.ndarray, out:
                 q, total = (times > 0).sum(axis=1), times.sum(axis=1)
                 coded = np.where(times > 0, -np.log2(times / (total + q)[:, None]), -np.log2(q / (total + q))[:, None] + rest[own])
             if n:
-                coded[~has] = out[suffix[own[~has]]]
-            out[own] = coded
+                coded[~has] = out[suffix[own[~has]]] / UNITS
+            out[own] = np.minimum(np.rint(coded * UNITS), 65535)
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[bytes]]:
@@ -198,6 +200,7 @@ def identify(text: Column, model, reject_above: float = REJECT_ABOVE) -> Column:
 
 
 def fitted(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE):
+    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(fit(sample(docs, per_language)))
 
 

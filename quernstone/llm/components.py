@@ -1,7 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components: of a table by alternating large-star and small-star rounds, and of arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,3 +31,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.withColumn("m", low).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = materialise(small.where(F.col("u") != F.col("v")).distinct())
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+
+
+def union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The roots of all rows after the pairs are linked; parent: roots before."""
+    while True:
+        u, v = parent[i], parent[j]
+        apart = u != v
+        if not apart.any():
+            return parent
+        i, j, u, v = i[apart], j[apart], u[apart], v[apart]
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up

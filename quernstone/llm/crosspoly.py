@@ -5,8 +5,8 @@ transform. Its hash is the coordinate of largest absolute value with that coordi
 multiprobe a vector also enters the buckets of its next best coordinates, in the order of what they lose against the best. Pairs that
 meet in a bucket are candidates; a pair is kept if its cosine is at least the threshold.
 
-A bucket can hold a group of thousands of copies. Vectors that are equal bit by bit are one from the start, buckets are split
-into tiles so that no task holds a whole bucket's pairs, and no candidate is dropped.
+A bucket can hold a group of thousands of copies. Vectors that are equal bit by bit are one from the start, buckets with the same members meet once, large ones are split
+into tiles so that no task holds a whole bucket, and no candidate is dropped. A task gives each vector's links and the edges of a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialise, whole_groups
+from quernstone.llm.common import lean, materialise, small_batches, whole_groups
+from quernstone.llm.components import connected_components, union
+from quernstone.llm.groups import meetings
 
 TABLES, PROBES, THRESHOLD, SEED = 8, 3, 0.9, 11
-#: Members of a bucket in one tile; the tiles of a bucket meet pairwise.
-TILE = 512
+#: Members of a bucket in one tile; the tiles of a bucket meet pairwise. Rows of a product.
+TILE, ROWS = 1024, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -68,18 +70,22 @@ def buckets(vectors: np.ndarray, tables: int, probes: int, seed: int) -> np.ndar
     return out
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_a, vec_b, cosine) with vec_a < vec_b and cosine >= ``threshold``.
+def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(vec_id, kept_id, links): a row for each vector that has a near copy or an equal one.
 
-    NULL identifiers and vectors, vectors with a NULL or non-finite entry, empty ones and the zero vector are in no pair. Vectors of different
-    lengths are never paired. Rows with the same identifier count once, with the smallest vector; equal vectors of different
-    identifiers are pairs. An empty table gives no rows; other columns are ignored.
+    kept_id: the smallest identifier of the vector's group, a connected component of equal vectors and pairs with a cosine of ``threshold`` or more that share a bucket. links: how many different vectors
+    make such a pair with this one; equal ones, which aren't listed in pairs, are one of them.
+
+    NULL identifiers and vectors, vectors with a NULL or non-finite entry, empty ones and the zero vector are in no group. Vectors of different
+    lengths are never paired. Rows with the same identifier count once, with the smallest vector. Identifiers may be of any type with an order. An empty table gives no rows; other columns are ignored.
     """
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < 1e300)") & F.expr("exists(v, x -> x != 0)"))
+    small_batches(vectors.sparkSession)
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))") & F.expr("exists(v, x -> x != 0)"))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    # scaled by the largest entry first, so that no square is out of range
+    rows = rows.withColumn("most", F.expr("aggregate(v, 0D, (s, x) -> greatest(s, abs(x)))")).withColumn("v", F.expr("transform(v, x -> x / most)"))
     rows = rows.withColumn("norm", F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")).select("id", F.expr("transform(v, x -> cast(x / norm as float))").alias("unit"))
-    rows = materialise(rows)
-    heads = materialise(rows.groupBy("unit").agg(F.min("id").alias("id")))
+    rows = materialise(rows.select("id", F.xxhash64("unit").alias("v"), "unit"))
 
     @F.pandas_udf("array<long>")
     def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,42 +94,48 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
             size = units.map(len).to_numpy()
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                for i, b in zip(at, buckets(np.stack(units.to_numpy()[at]).astype(np.float32), tables, probes, seed).reshape(len(at), -1), strict=True):
+                for i, b in zip(at, buckets(np.stack(units.to_numpy()[at]).astype(np.float32), tables, probes, seed).reshape(len(at), -1) + (int(d) << 40), strict=True):
                     found[i] = b
             yield pd.Series(found)
 
-    own = heads.select("id", F.size("unit").alias("dim"), F.explode(F.array_distinct(hashed("unit"))).alias("bucket"))
-    by = Window.partitionBy("dim", "bucket")
-    # members numbered in their bucket, in tiles; a bucket of t tiles has t (t + 1) / 2 meetings, in as many groups
-    placed = own.withColumns({"tile": F.floor((F.row_number().over(by.orderBy("id")) - 1) / TILE).cast("int"), "members": F.count(F.lit(1)).over(by)}).where(F.col("members") > 1)
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("members") - 1) / TILE).cast("int"))))
-    met = met.select("id", "dim", "bucket", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
-    unit = heads.select("id", "unit")
+    heads = materialise(rows.groupBy("v").agg(F.min("unit").alias("unit")).withColumn("keys", hashed("unit")))
+    sent = meetings(heads.select("v", F.explode(F.array_distinct("keys")).alias("key")), TILE).join(heads, "v")
 
+    @lean
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, cuts in whole_groups(frames, keys):
-            ids, tile, x = frame["id"].to_numpy(), frame["tile"].to_numpy(), frame["x"].to_numpy()
-            units = frame["unit"].to_numpy()
+        for frame, cuts in whole_groups(frames, tasks):
+            ids, side, x, y, key = (frame[c].to_numpy() for c in ("v", "side", "x", "y", "key"))
+            units, keys = frame["unit"].to_numpy(), frame["keys"].to_numpy()
             found = []
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                left = low + np.flatnonzero(tile[low:high] == x[low])
-                right = low + np.flatnonzero(tile[low:high] != x[low])
-                alone = not len(right)
-                if alone:
-                    right = left
-                cosine = np.stack(units[left]).astype(np.float64) @ np.stack(units[right]).astype(np.float64).T
-                i, j = np.nonzero(cosine >= threshold)
-                a, b = ids[left[i]], ids[right[j]]
-                keep = a < b if alone else np.ones(len(a), bool)
-                found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], cosine[i, j][keep]))
-            yield pd.DataFrame({n: np.concatenate([f[k] for f in found]) for k, n in enumerate(("a", "b", "cosine"))})
-
-    keys = ["dim", "bucket", "x", "y"]
-    # of a meeting of two tiles, one that is empty on its other side can't be: tiles are full but the last
-    found = met.join(unit, "id").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(verify, "a long, b long, cosine double")
-    found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    # back from one of each set of equal vectors to all of them
-    same = rows.join(heads.withColumnRenamed("id", "head"), "unit").select("id", "head")
-    across = found.join(same.select(F.col("head").alias("a"), F.col("id").alias("i")), "a").join(same.select(F.col("head").alias("b"), F.col("id").alias("j")), "b").select("i", "j", "cosine")
-    equal = same.alias("s").join(same.alias("t"), (F.col("s.head") == F.col("t.head")) & (F.col("s.id") < F.col("t.id"))).select(F.col("s.id").alias("i"), F.col("t.id").alias("j"), F.lit(1.0).alias("cosine"))
-    return across.union(equal).select(F.least("i", "j").alias("vec_a"), F.greatest("i", "j").alias("vec_b"), "cosine")
+                alone = x[low] == y[low]
+                if not alone and side[low] == side[high - 1]:
+                    continue  # the other tile is empty
+                middle = high if alone else low + int(np.searchsorted(side[low:high], 1))
+                matrix, own_keys = np.stack(units[low:high]).astype(np.float64), np.stack(keys[low:high])
+                n, parent, links = high - low, np.arange(high - low), np.zeros(high - low, np.int64)
+                for a in range(0, middle - low, ROWS):
+                    part = slice(a, min(a + ROWS, middle - low))
+                    i, j = np.nonzero(matrix[part] @ matrix[0 if alone else middle - low :].T >= threshold)
+                    i, j = i + a, j + (0 if alone else middle - low)
+                    i, j = i[i < j], j[i < j]
+                    if not len(i):
+                        continue
+                    parent = union(parent, i, j)
+                    # a pair counts in the group of the least key that it shares
+                    shared = np.where((own_keys[i][:, :, None] == own_keys[j][:, None, :]).any(axis=2), own_keys[i], np.iinfo(np.int64).max).min(axis=1)
+                    first = shared == key[low]
+                    links += np.bincount(i[first], minlength=n) + np.bincount(j[first], minlength=n)
+                some = (links > 0) | (parent != np.arange(n))
+                found.append((ids[low:high][some], ids[low:high][parent][some], links[some]))
+            if found:
+                yield pd.DataFrame({c: np.concatenate([f[k] for f in found]) for k, c in enumerate(("v", "root", "links"))})
+
+    tasks = ["group", "x", "y"]
+    found = sent.repartition(*tasks).sortWithinPartitions(*tasks, "side", "v").mapInPandas(verify, "v long, root long, links long")
+    found = materialise(found.groupBy("v", "root").agg(F.sum("links").alias("links")))
+    links = found.groupBy(F.col("v").alias("of")).agg(F.sum("links").alias("links"))
+    roots = connected_components(found.select(F.col("v").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("of"), "root")
+    rooted = rows.select("id", "v").join(links.join(roots, "of", "full"), F.col("v") == F.col("of"), "left").select("id", F.coalesce("root", "v").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    return rooted.join(kept, "root").select(F.col("id").alias("vec_id"), "kept_id", "links")

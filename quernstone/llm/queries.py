@@ -35,7 +35,7 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crosspoly.near_pairs(read(spark, sf_dir, "embeddings"))
+    return crosspoly.near_groups(read(spark, sf_dir, "embeddings"))
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

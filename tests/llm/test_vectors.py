@@ -41,26 +41,62 @@ def unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def test_near_pairs_are_found_and_true(spark):
+def brute_groups(ids, x, threshold=crosspoly.THRESHOLD):
+    """{id: (kept, links)} from every pair; links between different unit vectors."""
+    units = unit(x).astype(np.float32)
+    different, at = np.unique(units, axis=0, return_inverse=True)
+    near = different.astype(float) @ different.T.astype(float) >= threshold
+    np.fill_diagonal(near, False)
+    links = near.sum(axis=1)
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in np.flatnonzero(near[at[a]][at] | (at == at[a])).tolist():
+            u, v = find(a), find(b)
+            root[max(u, v)] = min(u, v)
+    members = {}
+    for a in range(len(ids)):
+        members.setdefault(find(a), []).append(a)
+    return {ids[a]: (min(ids[m] for m in own), int(links[at[a]])) for own in members.values() if len(own) > 1 for a in own}
+
+
+def got_groups(vectors, **more):
+    rows = crosspoly.near_groups(vectors, **more).collect()
+    assert len({r["vec_id"] for r in rows}) == len(rows)
+    return {r["vec_id"]: (r["kept_id"], r["links"]) for r in rows}
+
+
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_groups_and_links_equal_those_of_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(crosspoly, "TILE", tile)
     x, vectors = cluster(spark)
-    cosine = unit(x) @ unit(x).T
-    i, j = np.nonzero(np.triu(cosine >= crosspoly.THRESHOLD, 1))
-    want = set(zip(i.tolist(), j.tolist(), strict=True))
-    got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in crosspoly.near_pairs(vectors).collect()}
-    assert all(abs(cosine[p] - c) < 1e-5 and c >= crosspoly.THRESHOLD for p, c in got.items())
-    assert len(got.keys() & want) >= 0.9 * len(want) and len(want) > 800
-    assert {p for p in want if cosine[p] > 1 - 1e-9} <= got.keys()
+    want, got = brute_groups(list(range(len(x))), x), got_groups(vectors)
+    assert sum(n for _, n in want.values()) > 400
+    assert got.keys() <= want.keys() and len(got) >= 0.99 * len(want)
+    assert sum(n for _, n in got.values()) >= 0.97 * sum(n for _, n in want.values())
+    assert all(got[k][1] <= want[k][1] for k in got)
+    assert sum(got[k][0] == want[k][0] for k in got) >= 0.97 * len(want)
 
 
-def test_near_pairs_in_the_table(spark, sf):
+def test_planted_copies_in_the_table(spark, sf):
+    """The table itself holds no pair; with copies planted in it these are found, and nothing else."""
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = vectors.collect()
-    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows])
-    cosine = unit(x) @ unit(x).T
-    i, j = np.nonzero(np.triu(cosine >= crosspoly.THRESHOLD, 1))
-    want = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i, j, strict=True)}
-    got = {(r["vec_a"], r["vec_b"]) for r in crosspoly.near_pairs(vectors).collect()}
-    assert len(got & want) >= 0.9 * len(want) and got <= want | {p for p in got if p in want}
+    assert got_groups(vectors) == brute_groups([r["vec_id"] for r in vectors.collect()], np.array([r["embedding"] for r in vectors.collect()]))
+    rng = np.random.default_rng(4)
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    for k in range(60):
+        base = np.array(rows[k * 3][1])
+        noise = rng.standard_normal(len(base)) * np.linalg.norm(base) / np.sqrt(len(base))
+        rows.append((1_000_000 + k, (base * (k + 1) + noise * (k + 1) * (0 if k % 3 == 0 else 0.3)).tolist()))
+    planted = spark.createDataFrame([(i, [float(v) for v in e], 0) for i, e in rows], SCHEMA)
+    want, got = brute_groups([i for i, _ in rows], np.array([e for _, e in rows], np.float32)), got_groups(planted)
+    assert len(want) == 120 and got.keys() <= want.keys() and len(got) >= 118
+    assert all(got[k] == want[k] for k in got)
 
 
 def test_tiles_of_a_hot_bucket_meet(spark, monkeypatch):
@@ -68,7 +104,7 @@ def test_tiles_of_a_hot_bucket_meet(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = (np.ones(16) + rng.standard_normal((60, 16)) * 0.01).astype(np.float32)
     vectors = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], SCHEMA)
-    assert crosspoly.near_pairs(vectors).count() == 60 * 59 // 2
+    assert got_groups(vectors) == {i: (0, 59) for i in range(60)}
 
 
 def test_hadamard_is_orthogonal():
@@ -83,13 +119,17 @@ def test_multiprobe_takes_the_cheapest_buckets():
     assert (many[:, :, :1] == few).all() and all(len(set(b.tolist())) == 4 for v in many for b in v)
 
 
-def test_odd_vectors_in_near_pairs(spark):
+def test_odd_vectors_in_near_groups(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
-    want = [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (13, 14)]
-    assert [r[:2] for r in rows_of(crosspoly.near_pairs(odd))] == sorted(want, key=repr)
-    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("id", "v", "unit", "bucket", "tile", "x", "dim")])
-    assert rows_of(crosspoly.near_pairs(clash)) == rows_of(crosspoly.near_pairs(odd))
-    assert crosspoly.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+    want = {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 1), 13: (13, 1), 14: (13, 1)}
+    assert got_groups(odd) == want
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("id", "v", "unit", "bucket", "tile", "x", "dim", "root", "links", "keys")])
+    assert got_groups(clash) == want
+    named = odd.where("vec_id IS NOT NULL").select(F.concat(F.lit("n"), F.format_string("%02d", "vec_id")).alias("vec_id"), "embedding")
+    assert got_groups(named) == {f"n{k:02d}": (f"n{r:02d}", n) for k, (r, n) in want.items()}
+    assert crosspoly.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+    large = spark.createDataFrame([(1, [1e307, 1e306]), (2, [1e-300, 1e-301]), (3, [-1e307, 0.0])], "vec_id long, embedding array<double>")
+    assert got_groups(large) == {1: (1, 0), 2: (1, 0)} or got_groups(large) == {1: (1, 1), 2: (1, 1)}
 
 
 @pytest.mark.parametrize("noise", ["clusters", "table"])

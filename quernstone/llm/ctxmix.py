@@ -1,12 +1,16 @@
 """Operator 8: language-model scoring by online logistic context mixing.
 
-Bytes are coded bit by bit along a Huffman tree. Four predictors, for hashed contexts of the last one, two and three bytes and of the word so
-far, each give a probability from counts over the whole corpus. Their logits are mixed with weights chosen by a gate (the depth in the
-tree); after each bit the weights move along the coding error. The mixed probability is refined by an adaptive map from (depth, logit)
-to observed frequency, also updated after each bit, and averaged with it. The cost of a bit is its negative log probability, so a document's sum is an exact code length.
+Bytes are coded bit by bit along a Huffman tree. Four predictors, for the contexts of the last one, two and three bytes and of the word so
+far, each give a probability from counts over the corpus. Their logits are mixed with weights chosen by a gate (the depth in the
+tree). The mixed probability is refined by an adaptive map from (depth, logit)
+to observed frequency, and averaged with it. The cost of a bit is its negative log probability, so a document's sum is an exact code length.
 
-Documents are cut into blocks of BLOCK bytes, at whose start weights and map begin anew (contexts reach back across). Thousands of blocks advance in step, one
-bit at a time, as numpy arrays. The counts are gathered in one shuffle of each partition's non-zero cells; the model's size is fixed by SLOT_BITS.
+Weights and maps are the document's own from its first byte to its last, whatever its length; they move along the coding error after every STEP bytes, as
+the decoder could too. Thousands of documents advance in step as numpy arrays.
+
+No document is scored by its own counts: documents are in two halves by a hash of their identifier, and the counts of each half score the other. The counts, by
+context and byte, are one shuffle of each partition's sums and grow with the corpus. From them the executors make the predictors' logits, in hashed tables of at most
+2**SLOT_BITS slots each, which are all that reaches the driver and the workers: 2 x (2**16 + 3 x 2**SLOT_BITS) bytes at most.
 """
 
 from __future__ import annotations
@@ -17,21 +21,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import byte_batches, joined
+from quernstone.llm.common import byte_batches, joined, lean, materialise, small_batches
 
-SLOT_BITS, BLOCK = 15, 2048
-ORDERS = 4
-LANE_BYTES = 12 << 20
-RATE, MAP_RATE, FIRST_WEIGHT = 0.02, 0.02, 0.3
+#: Slots of a hashed table, as a power of two, at most; regions that are made apart.
+SLOT_BITS, LEAST_BITS, REGION_BITS = 23, 14, 5
+STEP = 32
+ORDERS, HALVES = 4, 2
+#: Bytes that are coded side by side, and bytes whose cells are sorted at once.
+LANE_BYTES, COUNT_BYTES = 8 << 20, 2 << 20
+RATE, MAP_RATE, FIRST_WEIGHT = 0.01, 0.02, 0.3
 GATES, MAP_DEPTHS, MAP_STEPS = 4, 8, 33
-_SHIFT = np.uint32(32 - SLOT_BITS)
 _MUL = np.uint32(0x9E3779B1)
 _WORD_BASE = 0xC6A4A7935BD1E995
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Powers that a worker keeps.
+MOST_KEPT = 1 << 20
 
 
 _KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -39,68 +47,123 @@ _KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0 to n - 1 of the word hash's base and of its inverse, modulo 2**64."""
+    if n > MOST_KEPT:
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_WORD_BASE, pow(_WORD_BASE, -1, 1 << 64)))
     if len(_KEPT[0]) < n:
         for i, x in enumerate((_WORD_BASE, pow(_WORD_BASE, -1, 1 << 64))):
-            p = np.full(max(n, 1 << 20), x, np.uint64)
+            p = np.full(n, x, np.uint64)
             p[0] = 1
             _KEPT[i] = np.cumprod(p)
     return _KEPT[0][:n], _KEPT[1][:n]
 
 
-def _cells(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(order, byte) cell numbers: order, slot of its context, byte; 23 bits below the order."""
+def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(order, byte) 24-bit contexts of each byte: the last one, two and three bytes, 0 standing for what precedes a text, and a hash of the letters since the last byte
+    that isn't one."""
     n = len(data)
     gaps = 3 * np.arange(1, len(offsets))
     at = np.arange(n) + np.repeat(gaps, np.diff(offsets))
     padded = np.zeros(n + 3 * (len(offsets) - 1), np.uint32)
     padded[at] = data
     c1, c2, c3 = padded[at - 1], padded[at - 2], padded[at - 3]
-    # the word so far begins after the last byte that isn't a letter, or where a block does
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     begin = np.zeros(n + 1, bool)
-    begin[:-1] = place % BLOCK == 0
+    begin[offsets] = True
     begin[1:] |= ~_LETTER[data]
     start = np.maximum.accumulate(np.where(begin[:-1], np.arange(n), 0))
     power, back = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * back[:-1], out=sums[1:])
     word = (sums[:-1] - sums[start]) * power[:-1]
-    slots = [c1, (c1 | c2 << np.uint32(8)) * _MUL >> _SHIFT, (c1 | c2 << np.uint32(8) | c3 << np.uint32(16)) * _MUL >> _SHIFT, (word >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)]
-    return np.stack([(np.uint32(k) << np.uint32(SLOT_BITS + 8)) | s << np.uint32(8) | data for k, s in enumerate(slots)])
+    two = c1 | c2 << np.uint32(8)
+    return np.stack([c1, two, two | c3 << np.uint32(16), (word >> np.uint64(40)).astype(np.uint32)])
+
+
+def _summed(cells: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different cells in order, and how often each is there."""
+    if times is None:
+        cells = np.sort(cells)
+    else:
+        by = np.argsort(cells, kind="stable")
+        cells, times = cells[by], times[by]
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    return cells[starts], np.diff(np.r_[starts, len(cells)]) if times is None else np.add.reduceat(times, starts) if len(starts) else times
 
 
+@lean
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(ORDERS << SLOT_BITS + 8, np.int32)
+    """Frames: text, half -> part (half and order), cell (context and byte), times; a partition's sums."""
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * (HALVES * ORDERS)
+    fresh: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in held]
+    size = 0
+
+    def settle() -> None:
+        for p, found in enumerate(fresh):
+            if found:
+                held[p] = _summed(*(np.concatenate(x) for x in zip(held[p], *found, strict=True)))
+                found.clear()
+
+    waiting: list[list[bytes]] = [[] for _ in range(HALVES)]
+
+    def take(half: int) -> None:
+        raw, waiting[half] = waiting[half], []
+        for first, last in byte_batches(raw, COUNT_BYTES):
+            data, offsets = joined(raw[first:last])
+            for k, c in enumerate(contexts(data, offsets)):
+                fresh[half * ORDERS + k].append(_summed(c << np.uint32(8) | data))
+
     for frame in frames:
-        for at in range(0, len(frame), 512):
-            raw = [t.encode("utf-8", "replace") for t in frame["text"].iloc[at : at + 512] if t]
-            for first, last in byte_batches(raw, 1 << 20):
-                cells = np.sort(_cells(*joined(raw[first:last])).ravel())
-                starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-                counts[cells[starts]] += np.diff(np.r_[starts, len(cells)]).astype(np.int32)
-    cells = np.flatnonzero(counts)
-    for at in range(0, len(cells), 1 << 18):
-        part = cells[at : at + (1 << 18)]
-        yield pd.DataFrame({"cell": part.astype(np.int32), "times": counts[part].astype(np.int64)})
+        for half, text in zip(frame["half"].tolist(), frame["text"].tolist(), strict=True):
+            waiting[half].append(text.encode("utf-8", "replace"))
+            size += len(waiting[half][-1])
+            if size > 2 * COUNT_BYTES:
+                for h in range(HALVES):
+                    take(h)
+                size = 0
+                if sum(len(x) for found in fresh for x, _ in found) > 1 << 22:
+                    settle()
+    for h in range(HALVES):
+        take(h)
+    settle()
+    for p, (cells, times) in enumerate(held):
+        for at in range(0, len(cells), 1 << 17):
+            part = slice(at, at + (1 << 17))
+            yield pd.DataFrame({"part": np.int32(p), "cell": cells[part].view(np.int32), "times": times[part]})
+
+
+def half_of(doc_id: Column) -> Column:
+    """0 or 1."""
+    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(5)), F.lit(HALVES)).cast("int")
 
 
 def gather_counts(docs: DataFrame) -> DataFrame:
-    """(cell, times) over all texts: how often each byte followed each hashed context. Partitions add up their own counts first."""
-    return docs.select("text").mapInPandas(_count, "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times"))
+    """(part, cell, times) over all texts: how often each byte followed each context of each order in each half."""
+    texts = docs.where(F.length("text") > 0).select("text", half_of(F.col("doc_id")).alias("half"))
+    return texts.mapInPandas(_count, "part int, cell int, times long").groupBy("part", "cell").agg(F.sum("times").alias("times"))
 
 
 @dataclass
 class Model:
-    """logits: logit of a one bit, in sixteenths, for each node after each context; offsets: where an order's begin. nodes, bits: (depth, byte) path in the code tree; length: a byte's
-    depth."""
+    """tables: of each half the logits of a one bit, in sixteenths, in each slot of each order; bits: an order's slots as a power of two. nodes, path: (depth, byte) nodes and bits of a byte's
+    path in the code tree; length: a byte's depth."""
 
-    logits: np.ndarray
-    offsets: list[int]
+    tables: list[np.ndarray]
+    bits: list[int]
     nodes: np.ndarray
-    bits: np.ndarray
+    path: np.ndarray
     length: np.ndarray
 
 
+def slots(context: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context the row of 256 slots in its order's table, and what its nodes' numbers are mixed with there: contexts that share a row have their nodes in
+    other slots. The first order's rows are its contexts."""
+    if order == 0:
+        return context, np.zeros_like(context)
+    mixed = context * _MUL
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA77)
+    return mixed >> np.uint32(32 - (bits - 8)), (mixed >> np.uint32(1)) & np.uint32(255)
+
+
 def _code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Huffman tree over 256 bytes as (nodes, bits, length); the root is node 0."""
     heap = [(float(w), i) for i, w in enumerate(weights)]
@@ -127,143 +190,178 @@ def _code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes, bits, length
 
 
-def build(cells: np.ndarray, times: np.ndarray) -> Model:
-    """Turn counts of bytes after contexts into the logits of the tree's bits."""
-    order, slot, byte = cells >> SLOT_BITS + 8, cells >> 8 & (1 << SLOT_BITS) - 1, cells & 255
-    own = order == 0
-    weights = np.bincount(byte[own], times[own], 256)
-    nodes, bits, length = _code(weights + max(1.0, weights.sum() / 4096))  # so that no path is long
-    sides = np.zeros((2, 256, 256), np.float32)
-    for b in range(256):
-        for d in range(length[b]):
-            sides[int(bits[d, b]), b, nodes[d, b]] = 1
-    logits = []
-    for k in range(ORDERS):
-        own = order == k
-        counts = np.zeros((256 if k == 0 else 1 << SLOT_BITS, 256), np.float32)
-        counts[slot[own], byte[own]] = times[own]
-        table = np.empty(counts.shape, np.int8)
-        for at in range(0, len(counts), 4096):
-            part = counts[at : at + 4096]
-            zero, one = part @ sides[0], part @ sides[1]
-            table[at : at + 4096] = np.clip(np.rint(16 * np.log((one + 0.4) / (zero + 0.4))), -127, 127)
-        logits.append(table.ravel())
-    return Model(np.concatenate(logits), np.cumsum([0] + [len(x) for x in logits])[:-1].tolist(), nodes, bits, length)
+def region(cells: np.ndarray, times: np.ndarray, order: int, bits: int, first: int, rows: int, nodes: np.ndarray, path: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The logits of ``rows`` rows from row ``first`` on, from the counts of the contexts that are there."""
+    row, mix = slots(cells >> np.uint32(8), order, bits)
+    base, byte = (row.astype(np.int64) - first) << 8, (cells & np.uint32(255)).astype(np.int64)
+    sums = np.zeros((2, rows << 8))
+    for d in range(len(nodes)):
+        on = length[byte] > d
+        base, byte, mix, times = base[on], byte[on], mix[on], times[on]
+        at, bit = base + (nodes[d][byte] ^ mix), path[d][byte]
+        for b in (0, 1):
+            sums[b] += np.bincount(at[bit == b], times[bit == b], rows << 8)
+    return np.clip(np.rint(16 * np.log((sums[1] + 0.4) / (sums[0] + 0.4))), -127, 127).astype(np.int8)
 
 
 def fit(docs: DataFrame) -> Model:
-    """Gather the counts of all documents and build the model; what reaches the driver is bounded by the number of cells, 4 x 2**23."""
-    found = gather_counts(docs).toArrow()
-    return build(found["cell"].to_numpy(), found["times"].to_numpy())
-
-
-def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
-    """Bits of each text."""
+    """Gather the counts of all documents; the executors make the tables, and the driver puts their regions together."""
+    small_batches(docs.sparkSession)
+    counts = materialise(gather_counts(docs))
+    known = counts.groupBy("part").agg(F.approx_count_distinct(F.shiftrightunsigned("cell", 8), 0.1).alias("n")).collect()
+    weights = np.zeros(256)
+    for r in counts.where(F.col("part") % ORDERS == 0).groupBy(F.col("cell").bitwiseAND(255).alias("byte")).agg(F.sum("times").alias("times")).collect():
+        weights[r["byte"]] = r["times"]
+    nodes, path, length = _code(weights + max(1.0, weights.sum() / 4096))  # so that no path is long
+    bits = [16] * ORDERS
+    for k in range(1, ORDERS):
+        most = max([r["n"] for r in known if r["part"] % ORDERS == k], default=1)
+        bits[k] = min(SLOT_BITS, max(LEAST_BITS, int(most).bit_length() + 4))
+
+    @lean
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        for frame in frames:
+            part, cell, times = frame["part"].to_numpy(), frame["cell"].to_numpy(np.int32).view(np.uint32), frame["times"].to_numpy(np.float64)
+            for p in np.unique(part).tolist():
+                own = part == p
+                held.setdefault(p, []).append((cell[own], times[own]))
+            for p in list(held):
+                if sum(len(c) for c, _ in held[p]) > 1 << 20:
+                    yield from regions(p, held.pop(p))
+        for p, found in held.items():
+            yield from regions(p, found)
+
+    def regions(p: int, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        cells, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        k = p % ORDERS
+        row, _ = slots(cells >> np.uint32(8), k, bits[k])
+        shift = bits[k] - 8 - REGION_BITS
+        for r in np.unique(row >> np.uint32(shift)).tolist():
+            own = row >> np.uint32(shift) == r
+            yield pd.DataFrame({"part": [p], "region": [r], "cells": [cells[own].tobytes()], "times": [times[own].tobytes()]})
+
+    def logits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, r, cells, times in zip(frame["part"].tolist(), frame["region"].tolist(), frame["cells"], frame["times"], strict=True):
+                k = p % ORDERS
+                rows = 1 << bits[k] - 8 - REGION_BITS
+                c, t = (np.concatenate([np.frombuffer(x, kind) for x in blobs]) for blobs, kind in ((cells, np.uint32), (times, np.float64)))
+                yield pd.DataFrame({"part": [p], "region": [r], "logits": [region(c, t, k, bits[k], r * rows, rows, nodes, path, length).tobytes()]})
+
+    pieces = counts.mapInPandas(make, "part int, region int, cells binary, times binary").groupBy("part", "region").agg(F.collect_list("cells").alias("cells"), F.collect_list("times").alias("times"))
+    begin = np.cumsum([0] + [1 << b for b in bits])
+    tables = [np.zeros(begin[-1], np.int8) for _ in range(HALVES)]
+    for r in pieces.mapInPandas(logits, "part int, region int, logits binary").toLocalIterator():
+        piece = np.frombuffer(r["logits"], np.int8)
+        at = begin[r["part"] % ORDERS] + r["region"] * len(piece)
+        tables[r["part"] // ORDERS][at : at + len(piece)] = piece
+    return Model(tables, bits, nodes, path, length)
+
+
+def code_lengths(texts: list[bytes], half: int, model: Model) -> np.ndarray:
+    """Bits of each text of a half, by the counts of the other."""
     total = np.zeros(len(texts))
-    for first, last in byte_batches(texts, LANE_BYTES):
-        part = texts[first:last]
-        sizes = np.array([len(t) for t in part], np.int64)
-        flat = np.frombuffer(b"\0\0\0" + b"\0\0\0".join(part), np.uint8)
-        base = np.cumsum(np.r_[0, sizes[:-1] + 3]) + 3
-        lanes = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(part)), lanes)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        starts = base[owner] + number * BLOCK
-        lengths = np.minimum(sizes[owner] - number * BLOCK, BLOCK)
-        by = np.argsort(-lengths, kind="stable")
-        bits = np.empty(len(owner))
-        bits[by] = _advance(flat, starts[by], lengths[by], model)
-        total[first:last] = np.bincount(owner, bits, len(part))
+    by = np.argsort([-len(t) for t in texts], kind="stable")
+    ranked = [texts[i] for i in by.tolist()]
+    for first, last in byte_batches(ranked, LANE_BYTES):
+        data, offsets = joined(ranked[first:last])
+        total[by[first:last]] = _advance(data, offsets, model.tables[(half + 1) % HALVES], model)
     return total
 
 
-def _advance(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
-    """Bits of the blocks that begin at ``starts``, longest first; all move on by one bit at a time."""
-    n = len(starts)
-    if not n:
-        return np.zeros(0)
-    weights = np.full((GATES, n, ORDERS), FIRST_WEIGHT, np.float32).view(np.complex128)[:, :, 0]
-    steps = np.arange(MAP_STEPS, dtype=np.float32)
-    maps = np.broadcast_to((1 / (1 + np.exp(-(steps - 16) / 2))).astype(np.float32), (MAP_DEPTHS, n, MAP_STEPS)).copy().reshape(MAP_DEPTHS, -1)
-    cost = np.zeros(n, np.float64)
-    word = np.zeros(n, np.uint64)
-    base, one = np.uint64(_WORD_BASE), np.uint64(1)
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")
-    lane_cells = np.arange(n) * MAP_STEPS + MAP_STEPS // 2
-    sixteenth, half, rate, map_rate = np.float32(1 / 16), np.float32(0.5), np.float32(RATE), np.float32(MAP_RATE)
-    rows = np.empty((n, ORDERS), np.intp)
-    for t in range(int(lengths[0])):
-        m = active[t]
-        at = starts[:m] + t
-        byte = flat[at]
-        c1, c2, c3 = (flat[at - k].astype(np.uint32) for k in (1, 2, 3))
-        two = c1 | c2 << np.uint32(8)
-        here = rows[:m]
-        for k, s in enumerate((c1, two * _MUL >> _SHIFT, (two | c3 << np.uint32(16)) * _MUL >> _SHIFT, word[:m] >> np.uint64(64 - SLOT_BITS))):
-            np.add(s.astype(np.intp) << 8, model.offsets[k], out=here[:, k])
-        length = model.length[byte]
-        live = cells = None
-        symbols = byte
-        finals, lives = [], []
+def _advance(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray, model: Model) -> np.ndarray:
+    """Bits of the texts, longest first; all move on by STEP bytes at a time."""
+    n = len(offsets) - 1
+    sizes = np.diff(offsets)
+    cost = np.zeros(n)
+    if not len(data):
+        return cost
+    # of each byte and order the slot of its contexts' node 0; another node's number is mixed into its lowest 8 bits
+    begin = np.cumsum([0] + [1 << b for b in model.bits])
+    known = np.empty((ORDERS, len(data)), np.int32)
+    for k, c in enumerate(contexts(data, offsets)):
+        row, mix = slots(c, k, model.bits[k])
+        known[k] = (row << np.uint32(8) | mix).astype(np.int32) + begin[k]
+    # a lane's four weights are read as one 16-byte item; they belong to logits in sixteenths
+    weights = np.full((GATES, n, ORDERS), FIRST_WEIGHT / 16, np.float32)
+    start = (1 / (1 + np.exp(-(np.arange(MAP_STEPS) - MAP_STEPS // 2) / 2))).astype(np.float32)
+    maps = np.broadcast_to(start, (MAP_DEPTHS, n, MAP_STEPS)).copy().reshape(MAP_DEPTHS, -1)
+    one, half, map_rate = np.float32(1), np.float32(0.5), np.float32(MAP_RATE)
+    steps = -(-sizes // STEP)
+    for t in range(int(steps[0])):
+        m = int(np.searchsorted(-steps, -t, side="left"))
+        at = ((offsets[:m] + t * STEP)[:, None] + np.arange(STEP)).ravel()
+        lane = np.repeat(np.arange(m, dtype=np.int32), STEP)
+        if (inside := at < np.repeat(offsets[1 : m + 1], STEP)).sum() < len(at):
+            at, lane = at[inside], lane[inside]
+        symbols = data[at]
+        length = model.length.take(symbols)
+        rows = known[:, at]
+        moves = np.zeros((GATES, m, ORDERS), np.float32)
         for d in range(int(length.max())):
             if d:
-                keep = np.flatnonzero(length > d)
-                live = keep if live is None else live.take(keep)
-                length, symbols, here, cells = length.take(keep), symbols.take(keep), here.take(keep, axis=0), cells.take(keep)
-            else:
-                cells = lane_cells[:m]
-            bit, node = model.bits[d].take(symbols), model.nodes[d].take(symbols)
-            x = np.empty((ORDERS, len(bit)), np.float32)
-            for k in range(ORDERS):
-                x[k] = model.logits.take(here[:, k] + node)
-            x *= sixteenth
-            # a lane's four weights are moved as one 16-byte item
-            gate = weights[min(d, GATES - 1)]
-            whole = gate[:m].copy() if live is None else gate.take(live)
-            w = whole.view(np.float32).reshape(-1, ORDERS)
+                on = np.flatnonzero(length > d)
+                length, symbols, lane, rows = length.take(on), symbols.take(on), lane.take(on), rows.take(on, axis=1)
+            bit, gate = model.path[d].take(symbols), min(d, GATES - 1)
+            x = tables.take(rows ^ model.nodes[d].take(symbols)).astype(np.float32)
+            w = weights[gate].view(np.complex128)[:, 0].take(lane).view(np.float32).reshape(-1, ORDERS)
             z = w[:, 0] * x[0]
             for k in range(1, ORDERS):
                 z += w[:, k] * x[k]
             np.clip(z, -7.9, 7.9, out=z)
             p = np.exp(-z)
-            p += 1
+            p += one
             np.reciprocal(p, out=p)
-            x *= (bit - p) * rate
-            for k in range(ORDERS):
-                w[:, k] += x[k]
-            gate[slice(m) if live is None else live] = whole
+            x *= bit - p
+            first = np.flatnonzero(lane[1:] != lane[:-1]) + 1
+            first = np.concatenate([[0], first])
+            own = lane[first]
+            moves[gate, own] += np.add.reduceat(x, first, axis=1).T
+            # of the bits of a step that meet in a cell of the map, the last moves it
             z += z
-            cell = cells + np.rint(z).astype(np.intp)
+            cell = lane * MAP_STEPS + (np.rint(z).astype(np.int32) + MAP_STEPS // 2)
             refined = maps[min(d, MAP_DEPTHS - 1)]
             v = refined.take(cell)
             p += v
             p *= half
             refined[cell] = v + (bit - v) * map_rate
-            finals.append(np.abs(1 - bit - p))
-            lives.append(live)
-        cost[:m] -= np.log(finals[0])
-        if len(finals) > 1:
-            cost[:m] -= np.bincount(np.concatenate(lives[1:]), np.log(np.concatenate(finals[1:])), m)
-        word[:m] = np.where(_LETTER[byte], (word[:m] + byte + one) * base, 0)
+            cost[own] -= np.add.reduceat(np.log(np.abs(one - bit - p)), first, dtype=np.float64)
+        weights[:, :m] += np.float32(RATE / 256) * moves
     return cost / np.log(2)
 
 
 def score(docs: DataFrame, model=None) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte), one row for each row of ``docs``.
 
-    model: a broadcast Model; by default one is fitted on all of ``docs``. A NULL text has NULLs; an empty one 0 bits and NULL bits a byte. Texts are coded whole. NULL identifiers and repeated
+    model: a broadcast Model; by default one is fitted on all of ``docs``. A document is scored by the counts of the half of the documents that it isn't in, so never by its own. A NULL text has NULLs; an empty one 0 bits and NULL bits a byte. Texts are coded whole. NULL identifiers (all in one half) and repeated
     rows stay as they are (each counts in the fit); other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs)) if model is None else model
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
         for frame in frames:
-            texts = frame["text"].tolist()
-            raw = [(t or "").encode("utf-8", "replace") for t in texts]
-            bits = code_lengths(raw, shared.value)
-            size = np.array([len(t) for t in raw], np.int64)
-            null = np.array([t is None for t in texts], bool)
-            rate = np.divide(bits, size, out=np.full(len(raw), np.nan), where=size > 0)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": pd.array(size, "Int64"), "bits": pd.array(bits, "Float64"), "bits_per_byte": pd.Series(rate, dtype="Float64").mask(pd.Series(size == 0))}).assign(n_bytes=lambda f: f["n_bytes"].mask(null), bits=lambda f: f["bits"].mask(null))
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, bits double, bits_per_byte double")
+            held.append(frame)
+            size += int(frame["text"].str.len().sum())
+            if size > LANE_BYTES:
+                yield scored(pd.concat(held, ignore_index=True))
+                held, size = [], 0
+        if held:
+            yield scored(pd.concat(held, ignore_index=True))
+
+    def scored(frame: pd.DataFrame) -> pd.DataFrame:
+        raw = [(t or "").encode("utf-8", "replace") for t in frame["text"].tolist()]
+        null, half = frame["text"].isna().to_numpy(), frame["half"].to_numpy()
+        bits = np.zeros(len(raw))
+        for h in range(HALVES):
+            own = np.flatnonzero(half == h)
+            bits[own] = code_lengths([raw[i] for i in own.tolist()], h, shared.value)
+        size = np.array([len(t) for t in raw], np.int64)
+        rate = np.divide(bits, size, out=np.full(len(raw), np.nan), where=size > 0)
+        return pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": pd.Series(pd.array(size, "Int64")).mask(null), "bits": pd.Series(pd.array(bits, "Float64")).mask(null), "bits_per_byte": pd.Series(rate, dtype="Float64").mask(size == 0)})
+
+    return docs.select("doc_id", "text", half_of(F.col("doc_id")).alias("half")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, bits double, bits_per_byte double")

@@ -4,78 +4,135 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import rows_of, sentence
 
 from quernstone.llm import ctxmix
 
 
-def model_of(texts):
-    counts = {}
-    for frame in ctxmix._count(iter([__import__("pandas").DataFrame({"text": texts})])):
-        for c, t in zip(frame["cell"], frame["times"], strict=True):
-            counts[int(c)] = counts.get(int(c), 0) + int(t)
-    return ctxmix.build(np.array(sorted(counts), np.int64), np.array([counts[c] for c in sorted(counts)], np.int64)), counts
+M32, M64 = (1 << 32) - 1, (1 << 64) - 1
+LETTERS = {*range(65, 91), *range(97, 123), *range(128, 256)}
 
 
-def contexts(data, i):
-    """Slots of the contexts of byte i, by their definition."""
-    m32, m64 = (1 << 32) - 1, (1 << 64) - 1
-    at = lambda k: data[i - k] if i >= k else 0
-    c1, c2, c3 = at(1), at(2), at(3)
-    start = i // ctxmix.BLOCK * ctxmix.BLOCK
-    word = 0
-    for j in range(start, i):
-        letter = 65 <= data[j] <= 90 or 97 <= data[j] <= 122 or data[j] >= 128
-        word = (word + data[j] + 1) * ctxmix._WORD_BASE & m64 if letter else 0
-    shift = 32 - ctxmix.SLOT_BITS
-    return [c1, ((c1 | c2 << 8) * 0x9E3779B1 & m32) >> shift, ((c1 | c2 << 8 | c3 << 16) * 0x9E3779B1 & m32) >> shift, word >> 64 - ctxmix.SLOT_BITS]
-
-
-def brute_bits(data, model):
-    """One bit after the other in plain Python."""
-    total = 0.0
+def contexts(data):
+    """The contexts of each byte, by their definition."""
+    out, word = [], 0
     for i, byte in enumerate(data):
-        if i % ctxmix.BLOCK == 0:
-            weights = [[ctxmix.FIRST_WEIGHT] * 4 for _ in range(ctxmix.GATES)]
-            maps = [[1 / (1 + math.exp(-(s - 16) / 2)) for s in range(ctxmix.MAP_STEPS)] for _ in range(ctxmix.MAP_DEPTHS)]
-        rows = [model.offsets[k] + s * 256 for k, s in enumerate(contexts(data, i))]
-        for d in range(model.length[byte]):
-            bit, node = float(model.bits[d, byte]), int(model.nodes[d, byte])
-            x = [float(model.logits[r + node]) / 16 for r in rows]
-            w = weights[min(d, ctxmix.GATES - 1)]
-            z = max(-7.9, min(7.9, sum(a * b for a, b in zip(w, x, strict=True))))
-            p = 1 / (1 + math.exp(-z))
-            for k in range(4):
-                w[k] += ctxmix.RATE * (bit - p) * x[k]
-            m, cell = maps[min(d, ctxmix.MAP_DEPTHS - 1)], 16 + round(2 * z)
-            final = (p + m[cell]) / 2
-            m[cell] += ctxmix.MAP_RATE * (bit - m[cell])
-            total -= math.log2(final if bit else 1 - final)
-    return total
-
-
-def test_counts_equal_those_of_the_definition():
+        at = lambda k, i=i: data[i - k] if i >= k else 0
+        out.append([at(1), at(1) | at(2) << 8, at(1) | at(2) << 8 | at(3) << 16, word >> 40])
+        word = (word + byte + 1) * 0xC6A4A7935BD1E995 & M64 if byte in LETTERS else 0
+    return out
+
+
+def slot(context, order, bits, node):
+    if order == 0:
+        return context << 8 | node
+    h = context * 0x9E3779B1 & M32
+    h ^= h >> 15
+    h = h * 0x85EBCA77 & M32
+    return h >> 32 - (bits - 8) << 8 | (node ^ (h >> 1 & 255))
+
+
+class PlainModel:
+    """Tree and logits from the texts alone: dictionaries, and a Huffman tree of its own."""
+
+    def __init__(self, texts, counted, bits):
+        """texts: those whose bytes make the tree; counted: those whose contexts are counted."""
+        self.bits, counts, weights = bits, {}, [0] * 256
+        for t in texts:
+            for b in t:
+                weights[b] += 1
+        least = max(1.0, sum(weights) / 4096)
+        heap = [(float(w + least), i, None) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        inner = 256
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a[0] + b[0], inner, (a, b)))
+            inner += 1
+        self.paths = {}
+
+        def walk(tree, path):
+            if tree[2] is None:
+                self.paths[tree[1]] = path
+            else:
+                for bit in (0, 1):
+                    walk(tree[2][bit], [*path, (inner - 1 - tree[1], bit)])
+
+        walk(heap[0], [])
+        for t in counted:
+            for b, cs in zip(t, contexts(t), strict=True):
+                for k, c in enumerate(cs):
+                    for node, bit in self.paths[b]:
+                        counts.setdefault((k, slot(c, k, bits[k], node)), [0, 0])[bit] += 1
+        self.logits = {at: max(-127, min(127, round(16 * math.log((one + 0.4) / (zero + 0.4))))) for at, (zero, one) in counts.items()}
+
+    def cost(self, data):
+        """One bit after the other; weights and map move after each step."""
+        total = 0.0
+        weights = [[ctxmix.FIRST_WEIGHT] * 4 for _ in range(ctxmix.GATES)]
+        maps = [[1 / (1 + math.exp(-(s - 16) / 2)) for s in range(ctxmix.MAP_STEPS)] for _ in range(ctxmix.MAP_DEPTHS)]
+        known = contexts(data)
+        for begin in range(0, len(data), ctxmix.STEP):
+            moves, cells = [[0.0] * 4 for _ in range(ctxmix.GATES)], {}
+            deep = max(len(self.paths[b]) for b in data[begin : begin + ctxmix.STEP])
+            for d in range(deep):
+                now = {}
+                for i in range(begin, min(begin + ctxmix.STEP, len(data))):
+                    path = self.paths[data[i]]
+                    if len(path) <= d:
+                        continue
+                    node, bit = path[d]
+                    x = [self.logits.get((k, slot(c, k, self.bits[k], node)), 0) / 16 for k, c in enumerate(known[i])]
+                    g = min(d, ctxmix.GATES - 1)
+                    z = max(-7.9, min(7.9, sum(a * b for a, b in zip(weights[g], x, strict=True))))
+                    p = 1 / (1 + math.exp(-z))
+                    for k in range(4):
+                        moves[g][k] += ctxmix.RATE * (bit - p) * x[k]
+                    level, cell = min(d, ctxmix.MAP_DEPTHS - 1), 16 + round(2 * z)
+                    v = maps[level][cell]
+                    final = (p + v) / 2
+                    now[level, cell] = v + ctxmix.MAP_RATE * (bit - v)
+                    total -= math.log2(final if bit else 1 - final)
+                for (level, cell), v in now.items():
+                    maps[level][cell] = v
+            weights = [[w + m for w, m in zip(a, b, strict=True)] for a, b in zip(weights, moves, strict=True)]
+        return total
+
+
+def by_half(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    half = {r["doc_id"]: r["half"] for r in docs.select("doc_id", ctxmix.half_of(F.col("doc_id")).alias("half")).collect()}
+    return docs, half
+
+
+def test_counts_equal_those_of_the_definition(spark):
     rng = random.Random(1)
-    texts = [sentence(rng, 50), "Ünï \n\n12 ab", sentence(rng, 900), ""]
-    _, counts = model_of(texts)
+    texts = [sentence(rng, 50), "Ünï \n\n12 ab", sentence(rng, 900), "", None, "ab", "ab"]
+    docs, half = by_half(spark, texts)
     want = {}
-    for t in texts:
-        data = t.encode()
-        for i, b in enumerate(data):
-            for k, s in enumerate(contexts(data, i)):
-                cell = k << ctxmix.SLOT_BITS + 8 | s << 8 | b
-                want[cell] = want.get(cell, 0) + 1
-    assert counts == want
+    for n, t in enumerate(texts):
+        data = (t or "").encode()
+        for b, cs in zip(data, contexts(data), strict=True):
+            for k, c in enumerate(cs):
+                at = (half[n] * 4 + k, c << 8 | b)
+                want[at] = want.get(at, 0) + 1
+    assert {(r["part"], r["cell"] & M32): r["times"] for r in ctxmix.gather_counts(docs).collect()} == want
 
 
-def test_code_lengths_equal_a_plain_coder():
+def test_bits_of_the_query_equal_a_plain_coder(spark):
+    """Tree, counts, tables, mixing and map all made anew; one text is over 10 kB."""
     rng = random.Random(2)
-    texts = [sentence(rng, n) for n in (3, 40, 700)]
-    model, _ = model_of(texts)
-    coded = [t.encode() for t in [*texts, "other words, ÜÖÄ\0", ""]]
-    got = ctxmix.code_lengths(coded, model)
-    for data, bits in zip(coded, got, strict=True):
-        assert bits == pytest.approx(brute_bits(data, model), rel=2e-3, abs=0.05)
+    texts = [sentence(rng, n) for n in (3, 40, 300, 120, 77)] + ["other words, ÜÖÄ\0", "", "a"]
+    texts.append(" ".join(rng.choice(texts[2].split()) for _ in range(2600)))
+    assert len(texts[-1]) > 10_000
+    docs, half = by_half(spark, texts)
+    assert set(half.values()) == {0, 1}
+    bits = ctxmix.fit(docs).bits
+    raw = [t.encode() for t in texts]
+    plain = [PlainModel(raw, [t for n, t in enumerate(raw) if half[n] != h], bits) for h in range(2)]
+    for r in ctxmix.score(docs).collect():
+        assert r["bits"] == pytest.approx(plain[half[r["doc_id"]]].cost(texts[r["doc_id"]].encode()), rel=2e-3, abs=0.05)
 
 
 def test_code_tree_is_a_prefix_code():
@@ -110,9 +167,5 @@ def test_odd_rows(spark, odd_docs, clashing_docs, no_docs, odd_rows):
     by = {r["doc_id"]: r for r in out}
     assert by[30]["bits"] is None and by[30]["bits_per_byte"] is None
     assert by[31]["bits"] == 0 and by[31]["bits_per_byte"] is None
-    model, _ = model_of([t for _, t, *_ in odd_rows])
-    for d in (36, 5, 33):
-        text = next(t for i, t, *_ in odd_rows if i == d)
-        assert by[d]["bits"] == pytest.approx(brute_bits(text.encode(), model), rel=2e-3, abs=0.05)
     assert len(rows_of(ctxmix.score(clashing_docs))) == len(out)
     assert ctxmix.score(no_docs).count() == 0

@@ -13,13 +13,15 @@ from quernstone.llm.common import lean, mix64
 
 #: Rows of keys that are held at once.
 LONG = 1 << 19
+#: Sizes further apart than this don't meet.
+RATIO = 1.75
 
 
 @lean
 def members_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (v, key) sorted by key -> (group, v, key) of the keys with several members. group is a hash of the members, so that keys with the same ones are one group; of
+    """Batches of (v, key, size) sorted by key and size -> (group, v, key) of the keys with several members. Where the next size is more than RATIO times the last, another group begins. group is a hash of the members, so that keys with the same ones are one group; of
     those at hand only the first is passed on. A key of more than LONG members is passed on as it comes, under a group of its own, so that none is held whole."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     have = 0
     streaming: int | None = None
 
@@ -29,8 +31,8 @@ def members_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def rows(group: np.ndarray, v: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(group), pa.array(v), pa.array(key.astype(np.int64))], names=["group", "v", "key"])
 
-    def grouped(v: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    def grouped(v: np.ndarray, key: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sizes[1:] > RATIO * sizes[:-1])])
         size = np.diff(np.r_[starts, len(key)])
         with np.errstate(over="ignore"):
             group = mix64(np.add.reduceat(mix64(v.view(np.uint64)), starts) + size.astype(np.uint64))
@@ -43,23 +45,23 @@ def members_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        v, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        v, key, sizes = (batch.column(i).to_numpy() for i in range(3))
         if streaming is not None:
             more = int(np.searchsorted(key != streaming, True))
             if more:
                 yield rows(np.full(more, own_group(streaming), np.int64), v[:more], key[:more])
             if more == len(key):
                 continue
-            v, key, streaming = v[more:], key[more:], None
-        held.append((v, key))
+            v, key, sizes, streaming = v[more:], key[more:], sizes[more:], None
+        held.append((v, key, sizes))
         have += len(key)
         if have < LONG:
             continue
-        v, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        v, key, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
         last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
         if last:
-            yield grouped(v[:last], key[:last])
-        held, have = [(v[last:], key[last:])], len(key) - last
+            yield grouped(v[:last], key[:last], sizes[:last])
+        held, have = [(v[last:], key[last:], sizes[last:])], len(key) - last
         if have >= LONG:
             streaming = int(key[-1])
             yield rows(np.full(have, own_group(streaming), np.int64), v[last:], key[last:])
@@ -69,12 +71,12 @@ def members_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def meetings(keyed: DataFrame, tile: int) -> DataFrame:
-    """keyed: (v, key) -> (group, x, y, side, v, key), where any two v that share a key meet in a task (group, x, y) of at most about two tiles.
+    """keyed: (v, key, size) -> (group, x, y, side, v, key), where any two v that share a key and have sizes of at most RATIO to 1 meet in a task (group, x, y) of at most about two tiles.
 
     A group is the members of one or more keys, key the least of these; alone a v makes no group. A group of more than ``tile`` members is cut into tiles by a hash; tile x
     is side 0 of the tasks (x, y) with y >= x, and side 1 of (y, x) with y < x. A task with only one side of two different tiles has nothing to compare.
     """
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(members_of_keys, "group long, v long, key long")
+    found = keyed.repartition("key").sortWithinPartitions("key", "size").mapInArrow(members_of_keys, "group long, v long, key long")
     member = found.groupBy("group", "v").agg(F.min("key").alias("key"))
     large = member.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > tile).select(F.col("group").alias("large"), F.ceil(F.col("members") / tile).cast("int").alias("cut"))
     tiles = F.coalesce("cut", F.lit(1))

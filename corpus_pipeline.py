@@ -1,4 +1,9 @@
-"""The corpus pipeline: language identification, near-dedup, repeated passages, mixture, encoding."""
+"""The corpus pipeline: language identification, near-dedup, repeated passages, mixture, encoding.
+
+Rows with a NULL or empty text, or in none of the languages, end at the first stage. Rows with a NULL doc_id stay through the next two stages as they came, since nothing
+can be held against them by identifier. Equal rows count as one document in the near-dedup and stay together. An empty table gives no rows. Columns beside those of documents are carried to the last stage,
+which returns doc_id, ids, n_tokens, round_trip and library_agrees, a row for each copy the mixture takes.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip, library_agrees of every document."""
-    return pieces.encode(docs)
+    return pieces.encode(docs, pieces.model_of(spark))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -6,7 +6,7 @@ piece become byte pieces.
 
 A merge can't cross two neighbouring characters that stand next to each other in no piece. The vocabulary's own adjacent
 pairs therefore say where a text falls apart into segments that are encoded independently; each Arrow batch encodes only
-segments the worker doesn't hold yet. Every one of them is also encoded by the sentencepiece library, in one call for the batch, and compared.
+segments the worker doesn't hold yet. The sentencepiece library encodes the whole texts of each batch too, and the ids of each document are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -236,36 +236,24 @@ class Codec:
         return [self.merge(x) if ids is None else ids for x, ids in zip(segments, out, strict=True)]
 
     def encode_batch(self, texts: list[str | None]) -> tuple[list[bytes | None], list[bool | None]]:
-        """Of each text its ids as little-endian int32, and whether the library gives the same for all of its segments; None for None."""
+        """Of each text its ids as little-endian int32, and whether the library gives the same ids for the whole text; None for None."""
         parts = [None if t is None else self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh = {s for p in parts if p for s in p if s not in self.new}
-        wrong: set[str] = set()
-        held, check = {}, []
+        held, wanted = {}, []
         for s in fresh:
             if (v := self.old.get(s)) is None:
-                check.append(s)
+                wanted.append(s)
             else:
                 held[s] = v
-        merged = self.merge_all(check)
-        held.update((s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in zip(check, merged, strict=True))
-        # a segment without the leading space mark is put after one that no piece joins to it
-        prefix = "\n"
-        marked = [s[1:].replace(SPACE, " ") if s[0] == SPACE and len(s) > 1 else None for s in check]
-        own = [prefix + s.replace(SPACE, " ") if m is None else m for m, s in zip(marked, check, strict=True)]
-        front = len(self.library.encode(prefix))
-        for s, m, ours, ids in zip(check, marked, merged, self.library.encode(own, num_threads=1), strict=True):
-            if ours != (ids if m is not None else ids[front:]):
-                wrong.add(s)
+        held.update((s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in zip(wanted, self.merge_all(wanted), strict=True))
         if len(self.new) + len(held) > HELD:
             self.old, self.new = self.new, {}
         if len(held) <= HELD:
             self.new.update(held)
         table = _Found(held, self.new, self.old)
         out = [None if p is None else b"".join(map(table.__getitem__, p)) for p in parts]
-        agree = [None if p is None else not wrong or wrong.isdisjoint(p) for p in parts]
-        for s in wrong:
-            self.new.pop(s, None)
-        return out, agree
+        theirs = iter(self.library.encode([t for t in texts if t is not None], num_threads=1))
+        return out, [None if b is None else b == np.array(next(theirs), "<i4").tobytes() for b in out]
 
     def forget(self) -> None:
         """Drop the segments held."""
@@ -312,10 +300,15 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def model_of(spark: SparkSession) -> str:
+    """The vocabulary file that the session names in ``quernstone.sentencepiece.model``, which all workers can read; else MODEL."""
+    return spark.conf.get("quernstone.sentencepiece.model", MODEL)
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip, library_agrees), one row for each row of ``docs``.
 
-    round_trip: decoding gives the text back. library_agrees: the sentencepiece library encodes each segment alike. A NULL text has NULL in all but
+    round_trip: decoding gives the text back. library_agrees: the sentencepiece library gives the same ids for the whole text. A NULL text has NULL in all but
     doc_id, an empty one no ids; a NULL doc_id and repeated rows stay as they are. A text is always encoded whole; one that has U+2581 itself comes back with a space. Other columns are
     ignored; an empty table gives no rows.
     """
@@ -344,12 +337,13 @@ def encode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text:
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
-    """The text of a column of ids; NULL for NULL, '' for no ids."""
+    """The text of a column of ids; '' for no ids; NULL for NULL, and where an id is NULL, negative or beyond the vocabulary."""
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(model)
+        size = len(c.pieces)
         for rows in parts:
-            yield pd.Series([None if r is None else c.decode(list(r)) for r in rows], dtype=object)
+            yield pd.Series([None if r is None or any(i is None or not 0 <= i < size for i in r) else c.decode([int(i) for i in r]) for r in rows], dtype=object)
 
     return run(ids)

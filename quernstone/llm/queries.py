@@ -23,7 +23,7 @@ def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(read(spark, sf_dir, "documents"))
+    return pieces.encode(read(spark, sf_dir, "documents"), pieces.model_of(spark))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

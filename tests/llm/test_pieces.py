@@ -58,6 +58,15 @@ def test_decoding_column(spark, odd_docs):
     assert back == odd_docs.where("doc_id = 36").first()["text"]
     none = spark.createDataFrame([(None,), ([],)], "ids array<int>").select(pieces.decode(F.col("ids")).alias("t"))
     assert rows_of(none) == [("",), (None,)]
+    wrong = spark.createDataFrame([(1, [5, None]), (2, [-1]), (3, [999_999, 5]), (4, [32_000_000]), (5, [5])], "n int, ids array<int>").select("n", pieces.decode(F.col("ids")).alias("t")).collect()
+    assert {r["n"]: r["t"] is None for r in wrong} == {1: True, 2: True, 3: True, 4: True, 5: False}
+
+
+def test_a_wrong_split_is_noticed():
+    codec = pieces.Codec()
+    codec.split = lambda t: [t[:7], t[7:]]
+    blobs, agree = codec.encode_batch(["a wonderful day", None, "hi", ""])
+    assert agree == [False, None, True, True]
 
 
 def test_lanes_equal_single_agendas():

@@ -5,6 +5,9 @@ one, one for each comma, and one for each 100 characters up to three; all of the
 grandparent, a third of the level's share further up to the fifth level. A container's points, with its
 kind's own, are discounted by link density. The best container is kept with those siblings that score a fifth of it or are
 good paragraphs themselves.
+
+Navigation and the like, by tag or by a word of class or id, goes before scoring, but never what another word there names as content, what holds at least RICH of the page's text outside
+links, or a header inside an article or main part.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import lean, small_batches
+
 RESULT = "title string, text string, score double, link_density double, paragraphs int"
-LEAST_CHARS, LEVELS = 25, 5
+LEAST_CHARS, LEVELS, RICH = 25, 5, 0.4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
 _SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,6 +31,9 @@ _BLOCK = frozenset("address article aside blockquote body center dd details div
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "title"}
 _ENDS = {"li": ("li", ("ul", "ol")), "td": ("td", ("table", "tr")), "th": ("th", ("table", "tr")), "tr": ("tr", ("table",)), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",))}
 _OUT = frozenset(("nav", "footer", "header", "aside", "form", "head", "button", "menu"))
+_NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_UNLIKELY_WORD = re.compile(r"\b(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|masthead|menu|nav\w*|pager|popup|promo\w*|related|share|sidebar|social|sponsor\w*|widget)\b", re.I)
+_LIKELY_WORD = re.compile(r"\b(?:article|body|content|entry|main|post|story|text)\b", re.I)
 _UNLIKELY = re.compile(r"""\b(?:class|id)\s*=\s*["']?[^"'>]*\b(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|masthead|menu|nav\w*|pager|popup|promo\w*|related|share|sidebar|social|sponsor\w*|widget)\b""", re.I)
 _LIKELY = re.compile(r"""\b(?:class|id)\s*=\s*["']?[^"'>]*\b(?:article|body|content|entry|main|post|story|text)\b""", re.I)
 _PARAGRAPH = frozenset(("p", "pre", "td", "blockquote"))
@@ -34,15 +42,24 @@ _BASE = {"article": 5, "main": 5, "div": 5, "section": 3, "pre": 3, "td": 3, "bl
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "likely", "own", "chars", "linked", "commas", "points", "gained")
+    __slots__ = ("tag", "parent", "parts", "suspect", "out", "likely", "plain", "marks", "own", "chars", "linked", "commas", "points", "gained")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, likely: bool):
-        self.tag, self.parent, self.out, self.likely = tag, parent, out, likely
+    def __init__(self, tag: str, parent: Node | None, suspect: bool, likely: bool):
+        self.tag, self.parent, self.suspect, self.likely, self.out = tag, parent, suspect, likely, False
+        self.plain = self.marks = 0
         self.parts: list[Node | str] = []
         self.own = self.chars = self.linked = self.commas = 0
         self.points, self.gained = 0.0, False
 
 
+def _judge(attributes: str, suspect: bool) -> tuple[bool, bool]:
+    """(suspect, likely) of a node that has an unlikely word in its class or id: it isn't suspect for that where another name there is likely."""
+    words = [w for m in _NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split()]
+    unlikely = [w for w in words if _UNLIKELY_WORD.search(w)]
+    likely = any(_LIKELY_WORD.search(w) for w in words if w not in unlikely)
+    return suspect or not likely, likely
+
+
 def parse(page: str) -> tuple[list[Node], str]:
     """The nodes in document order, the root first, and the title. Unclosed and stray tags are mended as browsers mostly do."""
     root = Node("#", None, False, False)
@@ -95,7 +112,11 @@ def parse(page: str) -> tuple[list[Node], str]:
                         close(old)
             attributes = m[4]
             named = "=" in attributes
-            node = Node(tag, now, now.out or tag in _OUT or (named and tag not in ("html", "body") and _UNLIKELY.search(attributes) is not None), named and _LIKELY.search(attributes) is not None)
+            likely = named and _LIKELY.search(attributes) is not None
+            suspect = tag in _OUT
+            if named and tag not in ("html", "body") and _UNLIKELY.search(attributes):
+                suspect, likely = _judge(attributes, suspect)
+            node = Node(tag, now, suspect, likely)
             now.parts.append(node)
             nodes.append(node)
             if not attributes.endswith("/"):
@@ -112,14 +133,10 @@ def _clean(text: str) -> str:
     return _SPACES.sub(" ", text).strip()
 
 
-def _measure(nodes: list[Node]) -> None:
+def _sum(nodes: list[Node]) -> None:
+    """The characters, of links too, and commas that each node holds, without what is out."""
     for n in nodes:
-        if not n.out:
-            for p in n.parts:
-                if p.__class__ is str:
-                    t = _clean(p)
-                    n.own += len(t)
-                    n.commas += t.count(",") + t.count("，") + t.count("、")
+        n.own, n.commas, n.chars, n.linked = n.plain, n.marks, 0, 0
     for n in reversed(nodes):  # children come after their parents
         if not n.out:
             n.chars += n.own
@@ -134,6 +151,32 @@ def _measure(nodes: list[Node]) -> None:
                     n.parent.commas += n.commas
 
 
+def _measure(nodes: list[Node]) -> None:
+    """Count each node's text, and settle which nodes are out."""
+    for n in nodes:
+        for p in n.parts:
+            if p.__class__ is str:
+                t = _clean(p)
+                n.plain += len(t)
+                n.marks += t.count(",") + t.count("，") + t.count("、")
+    _sum(nodes)
+    least = RICH * (nodes[0].chars - nodes[0].linked)
+    some = False
+    for n in nodes:  # parents come before their children
+        if n.parent and n.parent.out:
+            n.out = True
+        elif n.suspect and n.tag == "head":
+            n.out = some = True
+        elif n.suspect and not n.likely and not (n.chars - n.linked >= least > 0):
+            up = n.parent if n.tag == "header" else None
+            while up and up.tag not in ("article", "main"):
+                up = up.parent
+            n.out = up is None
+            some |= n.out
+    if some:
+        _sum(nodes)
+
+
 def density(n: Node) -> float:
     return min(1.0, n.linked / n.chars) if n.chars else 0.0
 
@@ -217,6 +260,7 @@ def main_text(page: Column) -> Column:
     """struct(title, text, score, link_density, paragraphs) of a column of pages."""
 
     @F.pandas_udf(RESULT)
+    @lean
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ["title", "text", "score", "link_density", "paragraphs"]
         for pages in parts:
@@ -230,8 +274,9 @@ def main_text(page: Column) -> Column:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, text, score, link_density, paragraphs), one row for each row of ``pages``.
 
-    A NULL html has NULLs; an empty page, or one without text, has '' and score 0. Where no container gains points, the whole body's text is kept.
+    A NULL html has NULLs; an empty page, or one without text, has '' and score 0. Where no container gains points, the whole body's text is kept, without what is out.
     Of containers with equal points the first in the page is the best. A page counts whole, however long or deep. NULL
     identifiers and repeated rows stay as they are; other columns are ignored; an empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", main_text(F.col("html")).alias("found")).select("page_id", "url", "found.*")

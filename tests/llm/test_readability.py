@@ -1,4 +1,6 @@
 import random
+import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,142 @@ def test_good_siblings_are_kept():
     assert first in text and second in text and "Short" not in text
 
 
+THREE = "".join(f"<p>{prose(i, 80)}</p>" for i in range(3))
+
+
+@pytest.mark.parametrize("around", ["<form id=aspnetForm>{}</form>", '<div class="content share-enabled">{}</div>', "<div class='main no-sidebar'>{}</div>", "<aside>{}</aside>", '<div id="related">{}</div>'])
+def test_rich_or_likely_nodes_stay(around):
+    title, text, score, *_ = readability.extract(f"<html><body><nav><a href=x>{prose(50)}</a></nav>{around.format(THREE)}<div class=sidebar><p>{prose(9, 24)}</p></div></body></html>")
+    assert text == "\n".join(prose(i, 80) for i in range(3)) and score > 0
+
+
+def test_an_articles_own_header_stays():
+    text = readability.extract(f"<body><header><h1>The site, and its name</h1></header><article><header><h1>The heading</h1></header>{THREE}</article></body>")[1]
+    assert text.startswith("The heading\n") and "The site" not in text
+
+
+def test_poor_suspects_go():
+    text = readability.extract(f'<body><div>{THREE}<div class="related-content"><p>{prose(5, 16)}</p></div><form><p>{prose(6, 16)}</p></form></div></body>')[1]
+    assert text == "\n".join(prose(i, 80) for i in range(3))
+
+
+class Tree(HTMLParser):
+    """A plain tree: [tag, attributes, children], text as strings; a block start closes an open paragraph."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["#", {}, []]
+        self.stack, self.skip, self.title = [self.root], None, ""
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "select"):
+            self.skip = self.skip or tag
+            return
+        if self.skip or tag in ("meta", "img", "link", "hr", "input"):
+            return
+        if tag == "br":
+            self.stack[-1][2].append("\n")
+            return
+        names = [n[0] for n in self.stack]
+        if tag in readability._CLOSES_P and "p" in names:
+            del self.stack[len(names) - 1 - names[::-1].index("p") :]
+        names = [n[0] for n in self.stack]
+        wall = max((i for i, n in enumerate(names) if n in {"li": ("ul", "ol"), "td": ("table", "tr"), "tr": ("table",)}.get(tag, ())), default=0)
+        if tag in ("li", "tr", "td") and tag in names[wall + 1 :]:
+            del self.stack[wall + 1 + names[wall + 1 :].index(tag) :]
+        node = [tag, dict(attrs), []]
+        self.stack[-1][2].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        if tag == self.skip:
+            self.skip = None
+        names = [n[0] for n in self.stack]
+        if not self.skip and tag in names[1:]:
+            del self.stack[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.skip:
+            if self.stack[-1][0] == "title":
+                self.title += data
+            else:
+                self.stack[-1][2].append(data)
+
+
+def clean(text):
+    return re.sub(r"[ \t\n\r\f\v\xa0]+", " ", text).strip()
+
+
+def brute(page):
+    """(title, score) and the best container's paragraphs, every node's figures found anew by recursion."""
+    tree = Tree(page)
+    everything, parent = [], {}
+
+    def walk(node):
+        everything.append(node)
+        for c in node[2]:
+            if isinstance(c, list):
+                parent[id(c)] = node
+                walk(c)
+
+    walk(tree.root)
+    out = set()
+
+    def chars(node, links_only=False, inside=False):
+        inside = inside or node[0] == "a"
+        return 0 if id(node) in out else sum(chars(c, links_only, inside) if isinstance(c, list) else len(clean(c)) * (inside or not links_only) for c in node[2])
+
+    def up(node):
+        while id(node) in parent:
+            node = parent[id(node)]
+            yield node
+
+    total = chars(tree.root) - chars(tree.root, True)
+    rich = {id(n) for n in everything if chars(n) - chars(n, True) >= 0.4 * total > 0}
+    for n in everything:
+        words = f"{n[1].get('class') or ''} {n[1].get('id') or ''}".split()
+        bad = [w for w in words if readability._UNLIKELY_WORD.search(w)] if n[0] not in ("html", "body") else []
+        good = any(readability._LIKELY_WORD.search(w) for w in words if w not in bad)
+        suspect = n[0] in readability._OUT or (bad and not good)
+        safe = good or id(n) in rich or (n[0] == "header" and any(a[0] in ("article", "main") for a in up(n)))
+        if n[0] == "head" or (suspect and not safe):
+            out.add(id(n))
+        n.append(25 * good)
+    live = [n for n in everything if id(n) not in out and not any(id(a) in out for a in up(n))]
+
+    def own(node):
+        """The node's text with that of what is inline in it."""
+        return [t for c in node[2] for t in ([clean(c)] if isinstance(c, str) else own(c) if c[0] not in readability._BLOCK and id(c) not in out else [])]
+
+    points, gained = {id(n): 0.0 for n in live}, set()
+    for n in live:
+        texts = own(n)
+        size = sum(map(len, texts))
+        paragraph = n[0] in ("p", "pre", "td", "blockquote")
+        if size >= 25 and (paragraph or n[0] in readability._CONTAINER or n is tree.root):
+            gain = 1 + sum(t.count(",") for t in texts) + min(size // 100, 3)
+            chain = list(up(n)) if paragraph else [n, *up(n)]
+            for level, a in enumerate(chain[:5], 1):
+                points[id(a)] += gain / (1 if level == 1 else 2 if level == 2 else 3 * level)
+                gained.add(id(a))
+
+    def score(n):
+        return (points[id(n)] + readability._BASE.get(n[0], 0) + n[3]) * (1 - (chars(n, True) / chars(n) if chars(n) else 0))
+
+    best = max((n for n in live if id(n) in gained), key=score, default=None)
+    return clean(tree.title), score(best) if best else 0.0
+
+
+def test_titles_and_scores_of_the_query_equal_brute_force(spark, sf):
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in table.collect()}
+    for r in readability.extract_pages(table).collect():
+        title, score = brute(html[r["page_id"]])
+        assert (r["title"], r["score"]) == (title, pytest.approx(score))
+
+
 @pytest.mark.parametrize("html", ["", "   ", "plain text without a tag", "<p>unclosed <b>tags <i>everywhere", "</p></div></html>", "<" * 5000, "<p" * 3000, "<!-- never closed", "<script>never closed", "<div>" * 20_000 + "deep text, far down" + "</div>" * 20_000, "<table><tr><td>a<td>b<tr><td>c", "<p>1 < 2 and 3 > 2 &amp; &bogus; &#65;</p>", "<title>only a title"])
 def test_broken_pages_do_not_fail(html):
     title, text, score, density, paragraphs = readability.extract(html)

@@ -105,7 +105,7 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP,
 
     A page with ``elements`` gives texts and tables in their order; any other one its text with links, then its tables, all behind the
     line that names the slide or sheet. Texts of fewer than LEAST_TOKENS tokens are dropped before numbering, blank
-    tables after. ``ord`` is the place in the page. image_embeddings: (img_id, embedding) to reuse.
+    tables after. ``ord`` is the place in the page. image_embeddings: (doc_id, img_id, embedding) to reuse; identifiers of images are made of file names, so two documents may have the same.
     """
     p = pages
     for field in PAGE.split(", ", 1)[1].split(", "):
@@ -141,8 +141,9 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP,
     out = out.select("doc_id", key.alias("chunk_id"), F.col("c.chunk_type").alias("chunk_type"), "pg_num", F.col("c.chunk_idx").alias("chunk_idx"), F.col("c.content").alias("content"), X.estimate_tokens(F.col("c.content")).alias("token_cnt"), meta.alias("metadata"), "ord")
     if image_embeddings is None:
         return out.withColumn("embedding", F.lit(None).cast("array<float>"))
-    known = image_embeddings.select(F.col("img_id").alias("known_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return out.join(known, (F.col("chunk_type") == "image") & (F.col("metadata.img_id") == F.col("known_id")), "left").drop("known_id")
+    known = image_embeddings.select(F.col("doc_id").alias("known_doc"), F.col("img_id").alias("known_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    same = (F.col("chunk_type") == "image") & (F.col("doc_id") == F.col("known_doc")) & (F.col("metadata.img_id") == F.col("known_id"))
+    return out.join(known, same, "left").drop("known_doc", "known_id")
 
 
 def index_documents(chunks: DataFrame, headers: DataFrame, timestamp: str, skip_empty: bool = True) -> DataFrame:

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
 
-LOGO_DISTANCE, FLAT_RANGE, ICON_SIDE, ICON_COLOURS = 60, 35, 200, 8
+LOGO_DISTANCE, FLAT_RANGE, ICON_SIDE, ICON_COLOURS, MIN_SIDE = 60, 35, 200, 8, 100
 #: Reference hashes are broadcast up to this many rows, and cross-joined by Spark's own choice beyond.
 BROADCAST_REFERENCES = 10_000
 
 
-def filter_reason(width: Column, height: Column, decoded: Column, logo_distance: Column, colour_range: Column, colours: Column) -> Column:
-    """The first stage that rejects an image, or 'kept': tiny, undecodable, a logo, small, of one colour, an icon."""
+def filter_reason(width: Column, height: Column, decoded: Column, logo_distance: Column, colour_range: Column, colours: Column, min_side: int = MIN_SIDE) -> Column:
+    """The first stage that rejects an image, or 'kept': tiny, undecodable, a logo, small (its longer side under ``min_side`` or the other under three quarters of it), of one colour, an icon."""
     long, short = F.greatest(width, height), F.least(width, height)
     aspect = width / F.greatest(height, F.lit(1))
     return (
         F.when(long < 20, "dimension")
         .when(~F.coalesce(decoded, F.lit(False)), "decode_error")
         .when(aspect.between(0.2, 5.0) & (logo_distance <= LOGO_DISTANCE), "ref_logo")
-        .when((long < 100) | (short < 75), "dimension")
+        .when((long < min_side) | (short < min_side * 0.75), "dimension")
         .when(colour_range < FLAT_RANGE, "solid_color")
         .when((long < ICON_SIDE) & (colours <= ICON_COLOURS), "tiny_icon")
         .otherwise("kept")
@@ -40,13 +40,17 @@ def hamming(a: Column, b: Column) -> Column:
 def nearest_reference(images: DataFrame, references: DataFrame) -> DataFrame:
     """``images`` (image_id, phash) with ref_name and logo_distance of the nearest reference (ref_name, phash); of equals the first name.
 
-    Few references are broadcast; their number is checked first, and beyond BROADCAST_REFERENCES the join is Spark's to plan.
+    Their number is checked first: up to BROADCAST_REFERENCES are one array that is broadcast, so that no image is moved; beyond, images and references are joined and
+    grouped by Spark. Without references there are no rows.
     """
-    few = references.limit(BROADCAST_REFERENCES + 1).count() <= BROADCAST_REFERENCES
     r = references.select("ref_name", F.col("phash").alias("ref_phash"))
-    pairs = images.select("image_id", "phash").crossJoin(F.broadcast(r) if few else r)
+    own = images.select("image_id", "phash")
+    if r.limit(BROADCAST_REFERENCES + 1).count() <= BROADCAST_REFERENCES:
+        known = r.agg(F.collect_list(F.struct("ref_name", "ref_phash")).alias("known")).where(F.size("known") > 0)
+        apart = F.transform("known", lambda x: F.struct(hamming(F.col("phash"), x["ref_phash"]).alias("logo_distance"), x["ref_name"].alias("ref_name")))
+        return own.crossJoin(F.broadcast(known)).select("image_id", F.array_min(apart).alias("b")).select("image_id", "b.ref_name", "b.logo_distance")
     best = F.min(F.struct(hamming(F.col("phash"), F.col("ref_phash")).alias("logo_distance"), "ref_name")).alias("b")
-    return pairs.groupBy("image_id").agg(best).select("image_id", "b.ref_name", "b.logo_distance")
+    return own.crossJoin(r).groupBy("image_id").agg(best).select("image_id", "b.ref_name", "b.logo_distance")
 
 
 def drop_repeats(media: DataFrame, order: tuple[str, ...] = ("pg_num", "pos", "key")) -> DataFrame:

@@ -25,11 +25,13 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("quernstone").getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if a.verbose else "ERROR")
     config = Config.from_env()
+    config.workers = a.workers or config.workers
     if a.split_chunks and not config.timestamp:
         config.timestamp = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     result = Pipeline(spark, config, store=a.output).process_batch(*a.inputs)
     s = result.summary().first()
-    print(f"{s['succeeded']} read, {s['failed']} failed; {result.images.count()} images, {result.chunks.count()} chunks")
+    pages = result.documents.selectExpr("sum(size(pages))").first()[0] or 0
+    print(f"{s['succeeded']} read, {s['failed']} failed; {pages} pages, {result.images.count()} images, {result.chunks.count()} chunks")
     for f in runs.failures(result.documents.selectExpr("path", "IF(error IS NULL, 'succeeded', 'failed') AS status", "error")).toLocalIterator():
         print(f"  {f['path']}: {f['error']}", file=sys.stderr)
     return int(s["failed"] > 0)

@@ -25,7 +25,8 @@ class Config:
     target_tokens: int = chunking.TARGET
     overlap_tokens: int = chunking.OVERLAP
     embed_chars: int = 8000
-    min_side: int = 100
+    min_side: int = images.MIN_SIDE
+    workers: int = 0
     skip_existing: bool = True
     full_path_key: bool = True
     timestamp: str = ""
@@ -70,8 +71,14 @@ class Pipeline:
         self.store = Store(spark, store) if store else None
 
     def process_batch(self, *inputs: str) -> Result:
-        """Files and folders; with a store, what it already has is left out."""
-        return self.process_files(discovery.listed(self.spark, inputs))
+        """Files and folders; with a store, what it already has is left out. Addresses (scheme://...) are listed by Spark, local names by the driver. Config.workers: partitions of the files."""
+        slices = self.config.workers or None
+        remote, local = [i for i in inputs if "://" in i], [i for i in inputs if "://" not in i]
+        parts = [discovery.listed(self.spark, local, slices=slices)] if local or not remote else []
+        if remote:
+            found = discovery.scanned(self.spark, *remote)
+            parts.append(found.repartition(slices) if slices else found)
+        return self.process_files(parts[0] if len(parts) == 1 else parts[0].union(parts[1]))
 
     def process(self, path: str) -> Result:
         return self.process_batch(path)
@@ -83,28 +90,39 @@ class Pipeline:
                 on_progress(r["path"], r["error"])
 
     def process_files(self, files: DataFrame) -> Result:
-        """files (path, content). A file that can't be read is a document with an error."""
+        """files (path, content). A file that can't be read is a document with an error.
+
+        Each model is called once for each row: with a store the images, with their bytes, are written before the chunks are made, and the chunks before the result is given, and both are
+        read back; without one they are kept on the executors' disks, and made again only where an executor is lost.
+        """
         c = self.config
+        if self.store:
+            self.store.new_run()
         if self.store and c.skip_existing and (done := self.store.read("documents")) is not None:
             key = "path" if c.full_path_key else "base_name"
             files = runs.pending(discovery.named(files), done, key).select("path", "content")
         docs = formats.documents(files).persist(StorageLevel.DISK_ONLY)
-        rows = formats.images_of(docs, self.references).where("filter_reason = 'kept'")
+        keep = self.store.put if self.store else lambda _, df: df.persist(StorageLevel.DISK_ONLY)
+        rows = formats.images_of(docs, self.references, c.min_side).where("filter_reason = 'kept'")
         none = [F.lit(None).cast("string").alias(n) for n in ("caption", "ocr_text", "description", "error")]
         said = providers.analyzed(rows, self.vision) if self.vision else rows.select("doc_id", "image_id", *none)
-        kept = images.with_vision(rows.drop("image_bytes"), said)
+        kept = images.with_vision(rows, said)
         if self.embedder:
             kept = kept.withColumn("embedding", providers.embedded(X.best_text(F.col("description"), F.col("caption")), self.embedder, c.embed_chars))
+        kept = keep("images", kept)
         pages = images.attach_to_pages(formats.pages_of(docs), kept)
-        known = kept.select(F.col("image_id").alias("img_id"), "embedding").where(F.col("embedding").isNotNull()) if self.embedder else None
+        known = kept.select("doc_id", F.col("image_id").alias("img_id"), "embedding").where(F.col("embedding").isNotNull()) if self.embedder else None
         chunks = chunking.chunk_pages(pages, c.target_tokens, c.overlap_tokens, known)
         if self.embedder:
             chunks = providers.embed_missing(chunks, self.embedder, c.embed_chars)
-        result = Result(docs, kept, chunks, runs.degradations(kept, chunks, bool(self.vision), bool(self.embedder)))
+        chunks = keep("chunks", chunks)
         if self.store:
-            self.store.save(kept, chunks, docs.drop("images"))
-            if c.timestamp:
-                self.store.write_json("individual_chunks", result.index_documents(c.timestamp))
+            stored = self.store.put("documents", docs.drop("images"))
+            docs.unpersist()
+            docs = stored
+        result = Result(docs, kept, chunks, runs.degradations(kept, chunks, bool(self.vision), bool(self.embedder)))
+        if self.store and c.timestamp:
+            self.store.write_json("individual_chunks", result.index_documents(c.timestamp))
         return result
 
 

@@ -35,9 +35,9 @@ _EST = "CASE WHEN coalesce({0}, '') = '' THEN 0 ELSE greatest(1, len(regexp_extr
 _SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(text, ''), {_WS}), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), '\\n([A-Z0-9])', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x, {_WS})), lambda x: x <> '')"
 
 
-def _windows_sql(target: int, overlap: int) -> str:
-    """The window splitter as a recursive query: (doc_id, idx, content, token_cnt)."""
-    return f"""RECURSIVE l AS MATERIALIZED (SELECT doc_id, s, list_transform(s, lambda x: {_EST.format('x')}) AS e FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)),
+def _windows_sql(target: int, overlap: int, texts: str = "documents") -> str:
+    """The window splitter as a recursive query over (doc_id, text): (doc_id, idx, content, token_cnt)."""
+    return f"""RECURSIVE l AS MATERIALIZED (SELECT doc_id, s, list_transform(s, lambda x: {_EST.format('x')}) AS e FROM (SELECT doc_id, {_SENTENCES} AS s FROM {texts})),
     p AS MATERIALIZED (SELECT doc_id, e, list_prepend(0, list_transform(range(1, len(e) + 1), lambda k: list_sum(e[1:k])::INT)) AS acc FROM l WHERE len(e) > 0),
     walk AS (
       SELECT doc_id, 0 AS i, 1 AS a, 0 AS tok, NULL::INT AS tail, false AS bare, false AS cut, NULL::INT AS ct, 0 AS ca, false AS big FROM p
@@ -308,7 +308,17 @@ def media_dedup(spark, sf_dir):
     return images.drop_repeats(_read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_suppkey AS key", "int(l_linenumber div 3) AS pg_num", "l_linenumber AS pos"))
 
 
-@query()
+# neighbouring texts of a conversation are one block, a table is one of its own
+_MARKED = """(SELECT *, sum(CASE WHEN role = 'user' AND before = 'user' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations))"""
+_USER_BLOCKS = f"(SELECT conv_id * 10000 + b AS doc_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM {_MARKED} WHERE role = 'user' GROUP BY conv_id, b)"
+_TABLE = "list_transform(string_split(text, chr(10)), lambda x: '| ' || replace(trim(x, ' ' || chr(9) || chr(13)), '|', '\\|') || ' |  |')"
+
+
+@query(f"""WITH {_windows_sql(500, 50, _USER_BLOCKS)},
+ kept AS (SELECT (doc_id // 10000)::BIGINT AS conv_id, (doc_id % 10000)::BIGINT AS b, chunk_idx AS k, 'text' AS chunk_type, content, NULL::INT AS num_rows, NULL::INT AS num_col FROM chunks
+  UNION ALL SELECT conv_id, b, 0, 'table', array_to_string(list_concat([t[1]], ['| --- | --- |'], t[2:]), chr(10)), len(t)::INT, 2 FROM (SELECT conv_id, b::BIGINT AS b, {_TABLE} AS t FROM {_MARKED} WHERE role <> 'user' AND trim(text, {_WS}) <> '')),
+ numbered AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, chunk_type ORDER BY b, k) - 1)::INT AS chunk_idx, (row_number() OVER (PARTITION BY conv_id ORDER BY b, k) - 1)::INT AS ord FROM kept)
+ SELECT conv_id::VARCHAR AS doc_id, 'conv_' || conv_id || '__p1_' || chunk_type || '_' || chunk_idx AS chunk_id, chunk_type, chunk_idx, content, {_EST.format('content')} AS token_cnt, ord, num_rows, num_col FROM numbered""")
 def elements_interleave(spark, sf_dir):
     """Conversations as pages of a document: what a user says is text, an answer a table of its lines."""
     c = _read(spark, sf_dir, "conversations")
@@ -318,3 +328,31 @@ def elements_interleave(spark, sf_dir):
     return chunking.chunk_pages(pages).select("doc_id", "chunk_id", "chunk_type", "chunk_idx", "content", "token_cnt", "ord", "metadata.num_rows", "metadata.num_col")
 
 
+@query("""SELECT '/' || f || '/' || n_name || '.png' AS doc_id, regexp_replace(n_name, '[^A-Za-z0-9_=-]', '_', 'g') || '__p1_image_0' AS chunk_id, 'Description: region ' || n_regionkey || ' of ' || n_name AS content, n_name || '__p1_img0' AS img_id,
+ CASE WHEN (n_nationkey + (f = 'b')::INT) % 3 <> 0 THEN (n_nationkey + CASE f WHEN 'b' THEN 100 ELSE 0 END)::DOUBLE END AS first FROM nation, (VALUES ('a'), ('b')) v(f)""")
+def image_chunks(spark, sf_dir):
+    """Two files of the same name in different folders, each with its own picture and vector or none."""
+    n = _read(spark, sf_dir, "nation").withColumn("f", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    doc, img = F.concat(F.lit("/"), "f", F.lit("/"), "n_name", F.lit(".png")), F.concat("n_name", F.lit("__p1_img0"))
+    one = F.struct(img.alias("img_id"), F.lit(0).alias("img_idx"), F.concat(img, F.lit(".png")).alias("img_path"), F.lit("").alias("ocr_text"), F.lit(None).cast("string").alias("caption"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string"), F.lit(" of "), F.col("n_name")).alias("description"))
+    pages = n.select(doc.alias("doc_id"), F.col("n_name").alias("base_name"), F.lit(1).alias("pg_num"), F.array(one).alias("imgs"))
+    vectors = n.where((F.col("n_nationkey") + (F.col("f") == "b").cast("int")) % 3 != 0)
+    vectors = vectors.select(doc.alias("doc_id"), img.alias("img_id"), F.array((F.col("n_nationkey") + F.when(F.col("f") == "b", 100).otherwise(0)).cast("float")).alias("embedding"))
+    out = chunking.chunk_pages(pages, image_embeddings=vectors)
+    return out.select("doc_id", "chunk_id", "content", F.col("metadata.img_id").alias("img_id"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@query("SELECT DISTINCT page_id, CASE WHEN url LIKE '%a%' THEN 'https://' || page_id || '/' ELSE 'ftp://' || page_id END AS link FROM pages")
+def link_schemes(spark, sf_dir):
+    """Links of a page but those of other schemes, each once."""
+    found = F.array(F.lit("mailto:x@y"), F.when(F.col("url").contains("a"), F.concat(F.lit("https://"), F.col("page_id").cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("ftp://"), F.col("page_id").cast("string"))), F.lit("javascript:0"), F.lit("#top"))
+    return _read(spark, sf_dir, "pages").select("page_id", F.explode(X.distinct_links(F.concat(found, found))).alias("link"))
+
+
+@query("""SELECT o_orderkey AS doc_id, o_orderkey % 3 AS pg_num, coalesce(list(c.l_linenumber::INT ORDER BY c.l_linenumber) FILTER (c.l_linenumber IS NOT NULL), []) AS images FROM orders LEFT JOIN lineitem c ON l_orderkey = o_orderkey AND l_linenumber % 4 = o_orderkey % 3 GROUP BY ALL""")
+def images_on_pages(spark, sf_dir):
+    """Pictures to the pages they are on; those of other pages are in none."""
+    pages = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 3).alias("pg_num"))
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 4).alias("pg_num"), F.col("l_linenumber").cast("int").alias("img_idx"), *[F.lit("").alias(c) for c in ("image_id", "img_path", "ocr_text", "caption", "description")])
+    on = images.attach_to_pages(pages, rows)
+    return on.select("doc_id", "pg_num", F.coalesce(F.transform("imgs", lambda m: m["img_idx"]), F.array().cast("array<int>")).alias("images"))

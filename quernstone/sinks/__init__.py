@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +12,15 @@ from pyspark.sql.utils import AnalysisException
 from quernstone.operators import runs
 
 PARTS = ("images", "chunks", "documents")
+#: Folders of split index documents.
+SHARDS = 64
 
 
 class Store:
-    """Tables below ``root``. ``documents`` is written last: a document counts as done once it is there, so a run that broke off is taken up again."""
+    """Tables below ``root``, a partition for each run. ``documents`` is written last: a document counts as done once it is there, so a run that broke off is taken up again."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.run = spark, root.rstrip("/"), "r" + uuid.uuid4().hex
 
     def path(self, part: str) -> str:
         return f"{self.root}/{part}"
@@ -29,19 +33,32 @@ class Store:
                 raise
             return None
 
+    def put(self, part: str, df: DataFrame) -> DataFrame:
+        """Write this run's rows of a part, and give them as read from there: what made them, a model's answers too, isn't made again."""
+        at = f"{self.path(part)}/run={self.run}"
+        df.write.mode("append").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def new_run(self) -> None:
+        """Begin another partition."""
+        self.run = "r" + uuid.uuid4().hex
+
     def save(self, images: DataFrame, chunks: DataFrame, documents: DataFrame) -> None:
         for part, df in zip(PARTS, (images, chunks, documents), strict=True):
-            df.write.mode("append").parquet(self.path(part))
+            self.put(part, df)
 
     def write_json(self, name: str, docs: DataFrame) -> None:
-        """Index documents as JSON lines in a folder for each document; content_vector stays where it is NULL, other kinds' fields don't."""
+        """Index documents as JSON lines in SHARDS folders by a hash of the document, and their identifiers as a table, so that what is there is known without reading the
+        lines; content_vector stays where it is NULL, other kinds' fields don't."""
         vector = "content_vector"
         own = [F.col(c) for c in docs.columns if c != vector]
         line = F.to_json(F.struct(*own))
         if vector in docs.columns:
             vec = F.concat(F.lit(f',"{vector}":'), F.coalesce(F.to_json(F.col(vector)), F.lit("null")), F.lit("}"))
             line = F.concat(F.substring(line, F.lit(1), F.length(line) - 1), vec)
-        docs.select(F.col("doc_id").alias("doc"), line.alias("value")).write.mode("append").partitionBy("doc").text(self.path(name))
+        shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")
+        docs.select(shard.alias("shard"), line.alias("value")).write.mode("append").partitionBy("shard").text(self.path(name))
+        docs.select("doc_id", "id").write.mode("append").parquet(self.path(name + "_ids"))
 
     def split(self, name: str, docs: DataFrame, skip_existing: bool = True) -> DataFrame:
         """Write the index documents that aren't there yet and return the run's split_stats().
@@ -61,10 +78,5 @@ class Store:
         return self.spark.createDataFrame(stats)
 
     def _written(self, name: str) -> DataFrame | None:
-        try:
-            lines = self.spark.read.text(self.path(name))
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-        return lines.select(F.get_json_object("value", "$.doc_id").alias("doc_name"), F.get_json_object("value", "$.id").alias("id")).distinct()
+        found = self.read(name + "_ids")
+        return found if found is None else found.select(F.col("doc_id").alias("doc_name"), "id").distinct()

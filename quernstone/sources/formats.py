@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
-from quernstone.operators.images import filter_reason
+from quernstone.operators.images import MIN_SIDE, filter_reason
 from quernstone.sources import office, pdf, pixels
 from quernstone.sources.office import page
 
@@ -324,7 +324,7 @@ def pages_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("path").alias("doc_id"), "base_name", F.explode("pages").alias("p")).select("doc_id", "base_name", "p.*")
 
 
-def images_of(docs: DataFrame, references: list[tuple[str, list[int]]] | None = None) -> DataFrame:
+def images_of(docs: DataFrame, references: list[tuple[str, list[int]]] | None = None, min_side: int = MIN_SIDE) -> DataFrame:
     """One row for each picture with its filter_reason. references: (name, hash) of logos, held as a literal."""
     rows = docs.select(F.col("path").alias("doc_id"), F.explode("images").alias("i")).select("doc_id", "i.*")
     distance = F.lit(None).cast("int")
@@ -332,6 +332,6 @@ def images_of(docs: DataFrame, references: list[tuple[str, list[int]]] | None =
         known = F.array(*[F.array(*[F.lit(w).cast("long") for w in h]) for _, h in references])
         apart = F.transform(known, lambda r: F.aggregate(F.zip_with("phash", r, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x))
         distance = F.array_min(apart)
-    reason = filter_reason(F.coalesce("width", F.lit(1 << 20)), F.coalesce("height", F.lit(1 << 20)), F.col("decoded"), distance, F.col("colour_range"), F.col("colours"))
+    reason = filter_reason(F.coalesce("width", F.lit(1 << 20)), F.coalesce("height", F.lit(1 << 20)), F.col("decoded"), distance, F.col("colour_range"), F.col("colours"), min_side)
     image_type = X.image_type(F.col("ext"))
     return rows.withColumns({"filter_reason": reason, "size_bytes": F.length("image_bytes"), "img_path": F.concat("image_id", F.lit("."), image_type)})

@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as E
 
 from quernstone.sources import pixels
@@ -88,7 +89,7 @@ def word(data: bytes, base: str) -> tuple[dict, list[dict], list[dict]]:
     tables: list[list[list[str]]] = []
     links: list[str] = []
     shown: dict[str, int] = {}
-    paragraphs = 0
+    paragraphs, repeats = 0, [0]
 
     def close() -> None:
         nonlocal lines, tables, links
@@ -96,19 +97,28 @@ def word(data: bytes, base: str) -> tuple[dict, list[dict], list[dict]]:
             pages.append(page(len(pages) + 1, "page", "\n".join(lines), tables=tables, hyperlinks=unique(links)))
         lines, tables, links = [], [], []
 
-    def mention(e: E.Element) -> None:
-        for x in e.iter():
-            target = relations.get(attribute(x, "embed") or attribute(x, "id") or "")
-            if target and tag(x) in ("blip", "imagedata"):
-                shown[target[0]] = len(pages) + 1
-            elif target and tag(x) == "hyperlink" and WEB.match(target[0]):
-                links.append(target[0])
-
-    for block in body:
+    def mention(x: E.Element) -> None:
+        target = relations.get(attribute(x, "embed") or attribute(x, "id") or "")
+        if target and tag(x) in ("blip", "imagedata"):
+            repeats[0] += target[0] in shown
+            shown[target[0]] = len(pages) + 1
+        elif target and tag(x) == "hyperlink" and WEB.match(target[0]):
+            links.append(target[0])
+
+    def blocks(e: E.Element) -> Iterator[E.Element]:
+        """Paragraphs and tables, those inside content controls too."""
+        for x in e:
+            if tag(x) in ("sdt", "sdtContent", "customXml", "ins"):
+                yield from blocks(x)
+            else:
+                yield x
+
+    for block in blocks(body):
         if tag(block) == "p":
             paragraphs += 1
             held = ""
             for x in block.iter():
+                mention(x)
                 name = tag(x)
                 if name == "t":
                     held += x.text or ""
@@ -119,12 +129,12 @@ def word(data: bytes, base: str) -> tuple[dict, list[dict], list[dict]]:
                         lines.append(held.strip())
                     held = ""
                     close()
-            mention(block)
             if held.strip():
                 lines.append(held.strip())
         elif tag(block) == "tbl":
             rows = [[text_of(c).strip() for c in inside(r, "tc")] for r in inside(block, "tr")]
-            mention(block)
+            for x in block.iter():
+                mention(x)
             if any(any(r) for r in rows):
                 tables.append(rows)
     close()
@@ -137,7 +147,7 @@ def word(data: bytes, base: str) -> tuple[dict, list[dict], list[dict]]:
         if one := picture(a, name, at, numbers.get(at, 0), base):
             pictures.append(one)
             numbers[at] = numbers.get(at, 0) + 1
-    meta = a.core() | {"paragraph_count": paragraphs, "table_count": sum(len(p["tables"]) for p in pages), "page_count": len(pages)}
+    meta = a.core() | {"paragraph_count": paragraphs, "table_count": sum(len(p["tables"]) for p in pages), "page_count": len(pages), "duplicate_images": repeats[0]}
     return meta, pages, pictures
 
 

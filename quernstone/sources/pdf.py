@@ -77,7 +77,8 @@ class Document:
                 out.append(node)
         return out or [b for b in self.objects.values() if re.search(rb"/Type\s*/Page\b", b)]
 
-    def unicode_maps(self, page: bytes) -> dict[bytes, dict[int, str]]:
+    def unicode_maps(self, page: bytes) -> dict[bytes, tuple[int, dict[int, str]]]:
+        """Of each font with a map the bytes of a code, and the map. Composite fonts have codes of two bytes, or as the map's code space says; all others of one."""
         resources = self.follow(page, b"Resources") or page
         fonts = self.follow(resources, b"Font") or resources
         out = {}
@@ -93,7 +94,9 @@ class Document:
                 for a, b, c in re.findall(rb"<(\w+)>\s*<(\w+)>\s*<(\w+)>", block):
                     for k in range(int(a, 16), int(b, 16) + 1):
                         table[k] = chr(min(0x10FFFF, int(c, 16) + k - int(a, 16)))
-            out[name] = table
+            space = re.search(rb"begincodespacerange\s*<(\w+)>", cmap)
+            width = (len(space[1]) // 2 if space else 2) if re.search(rb"/Subtype\s*/Type0\b", body) else 1
+            out[name] = (max(1, width), table)
         return out
 
     def text(self, page: bytes) -> str:
@@ -104,7 +107,11 @@ class Document:
 
         def show(raw: bytes) -> str:
             s = _literal(raw)
-            return "".join(now.get(int.from_bytes(s[i : i + 2]), "") for i in range(0, len(s), 2)) if now is not None else _decoded(s)
+            if now is None:
+                return _decoded(s)
+            width, table = now
+            # a code of a simple font that its map leaves out stands for itself
+            return "".join(table.get(code, "" if width > 1 else chr(code)) for i in range(0, len(s), width) for code in [int.from_bytes(s[i : i + width])])
 
         for t in _OPERAND.findall(code):
             if t[:1] in b"(<[]/+-.0123456789":
@@ -150,9 +157,16 @@ class Document:
 def read(data: bytes, base: str) -> tuple[dict, list[dict], list[dict]]:
     d = Document(data)
     pages = []
+    unread, why = 0, None
     for number, body in enumerate(d.pages(), 1):
-        text = d.text(body)
+        try:
+            text = d.text(body)
+        except ValueError as e:  # a filter that isn't supported costs this page only
+            text, unread = "", unread + 1
+            why = e
         elements = [{"type": "text", "content": text, "rows": None}] if text else []
         pages.append({"pg_num": number, "kind": "page", "title": "", "txt": text, "tables": [], "elements": elements, "hyperlinks": d.links(body)})
+    if unread and unread == len(pages):
+        raise why
     pages = pages or [{"pg_num": 1, "kind": "page", "title": "", "txt": "", "tables": [], "elements": [], "hyperlinks": []}]
-    return d.info() | {"page_count": len(pages), "table_count": 0}, pages, []
+    return d.info() | {"page_count": len(pages), "table_count": 0} | ({"unread_pages": unread} if unread else {}), pages, []

@@ -7,9 +7,9 @@ least hash of its 32-grams, which equal stretches share; consecutive stretches w
 2. One shuffle by anchor keeps the anchors of two or more documents. Where all windows of an anchor are equal, the
    windows are the passage. Otherwise each different window is kept once, with its first and last document.
 3. The different windows of an anchor meet in one task, which concatenates them and builds their run-compressed Burrows-Wheeler transform,
-   with the suffix array sampled at the ends of runs. Common prefixes of neighbouring suffixes are computed
-   at run starts only, and streamed from there: inside a run each step along the text lowers the value by one. These matching
-   statistics cut the suffix array into groups of suffixes that share MIN_CHARS characters; a group with several documents is a repeat.
+   with the suffix array sampled at the ends of runs; what is kept of both is as long as there are runs. At run starts the suffix before and the common prefix with it are computed,
+   and streamed from there: inside a run each step along the text moves the one on and lowers the other by one. These matching
+   statistics chain suffixes that share MIN_CHARS characters; a chain with several documents is a repeat.
 4. Spans of the same document are merged.
 
 The result is exact: character i is marked if and only if it lies in a stretch of MIN_CHARS characters that occurs in another document.
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.llm.common import lean, materialise, mix64, own_columns, safe_name
 
@@ -75,7 +76,7 @@ def anchors(text: str, least: int = MIN_CHARS, gram: int = GRAM) -> tuple[np.nda
 
     The anchor of a stretch of ``least`` characters is the least hash of its grams, a function of the stretch alone. A window is the
     union of consecutive stretches with the same anchor, so every stretch of the text lies in exactly one."""
-    n = len(text)
+    n, gram = len(text), min(gram, least)
     if n < least:
         return None
     sums, back = prefix_sums(code_points(text))
@@ -137,54 +138,76 @@ def _dense(codes: np.ndarray) -> np.ndarray:
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of texts, with a separator after each.
 
-    heads: where runs begin in the transform; symbols: a run's symbol; first, last: the suffix array at a run's ends.
+    Kept are the text, ends: where each text's separator is; heads: where runs begin in the transform; symbols: a run's symbol; first, last: the suffix array at a run's ends, and the
+    same by place in the text. All but the text is as long as there are runs; suffix array and transform are gone once it is built.
     """
 
     def __init__(self, texts: list[str]):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.codes = np.zeros(int(sizes.sum()) + len(texts), np.uint32)
-        ends = np.cumsum(sizes + 1)
+        self.ends = np.cumsum(sizes + 1) - 1
         inside = np.ones(len(self.codes), bool)
-        inside[ends - 1] = False
+        inside[self.ends] = False
         self.codes[inside] = code_points("".join(texts)) + 1
-        self.owner = np.repeat(np.arange(len(texts)), sizes + 1)
-        self.start = ends - sizes - 1
-        #: Characters left in the text from each place.
-        self.left = np.repeat(ends - 1, sizes + 1) - np.arange(len(self.codes))
         dense = _dense(self.codes)
         if dense.dtype != np.uint8:
             wide = np.empty(2 * len(dense), np.uint8)
             wide[::2], wide[1::2] = dense >> 8, dense & 255
             both = suffix_array(wide)
-            self.sa = both[both % 2 == 0] // 2
+            sa = both[both % 2 == 0] // 2
         else:
-            self.sa = suffix_array(dense)
-        self.bwt = self.codes[self.sa - 1]
-        change = np.ones(len(self.sa), bool)
-        change[1:] = self.bwt[1:] != self.bwt[:-1]
-        change |= self.bwt == 0  # the texts' separators count as different symbols
+            sa = suffix_array(dense)
+        bwt = self.codes[sa - 1]
+        change = np.ones(len(sa), bool)
+        change[1:] = bwt[1:] != bwt[:-1]
+        change |= bwt == 0  # the texts' separators count as different symbols
         self.heads = np.flatnonzero(change)
-        self.symbols = self.bwt[self.heads]
-        self.first = self.sa[self.heads]
-        self.last = self.sa[np.r_[self.heads[1:], len(self.sa)] - 1]
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each place of the text, how many characters it shares with the suffix before it in order, up to the text's end.
-
-        Compared at run starts only (the sample before a run start is the end of the run before); elsewhere one less than a place earlier.
+        self.symbols = bwt[self.heads]
+        self.first = sa[self.heads]
+        self.last = sa[np.r_[self.heads[1:], len(sa)] - 1]
+        # a run start by its place in the text, and the suffix before it in order, the end of the run before
+        by = np.argsort(self.first[1:], kind="stable")
+        self.starts, self.before = self.first[1:][by], self.last[:-1][by]
+        self.lowest = int(sa[0]) if len(sa) else -1
+
+    def index_bytes(self) -> int:
+        """What is kept beside the text."""
+        return sum(x.nbytes for x in (self.ends, self.heads, self.symbols, self.first, self.last, self.starts, self.before))
+
+    def owner(self, places: np.ndarray) -> np.ndarray:
+        """The texts that places are in."""
+        return np.searchsorted(self.ends, places)
+
+    def left(self, places: np.ndarray) -> np.ndarray:
+        """Characters from each place to its text's end."""
+        return self.ends[self.owner(places)] - places
+
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the text the suffix before it in order, and how many characters the two share, up to their texts' ends; the lowest suffix has itself and 0.
+
+        Both are sampled at run starts. Elsewhere they stream from the last run start before in the text: the suffix before lies as much further on, and one character less a step is
+        shared.
         """
         n = len(self.codes)
-        at, other = self.first[1:], self.last[:-1]
+        at, other = self.starts, self.before
         sums, back = prefix_sums(self.codes)
-        low, high = np.zeros(len(at), np.int64), np.minimum(self.left[at], self.left[other])
+        low, high = np.zeros(len(at), np.int64), np.minimum(self.left(at), self.left(other))
         while (todo := low < high).any():
             mid = (low + high + 1) // 2
             same = (sums[at + mid] - sums[at]) * back[at] == (sums[other + mid] - sums[other]) * back[other]
             low, high = np.where(todo & same, mid, low), np.where(todo & ~same, mid - 1, high)
-        reach = np.zeros(n, np.int64)
-        reach[at] = low
-        reach += np.arange(n)
-        return np.minimum(np.maximum.accumulate(reach) - np.arange(n), self.left)
+        place = np.arange(n)
+        sample = np.zeros(n, np.int64)
+        sample[at] = np.arange(len(at))
+        sample = np.maximum.accumulate(sample)
+        gone = place - at[sample] if len(at) else place
+        shared = np.maximum(low[sample] - gone, 0) if len(at) else np.zeros(n, np.int64)
+        prior = np.where(shared > 0, other[sample] + gone, place) if len(at) else place
+        if self.lowest >= 0:
+            prior[self.lowest], shared[self.lowest] = self.lowest, 0
+        ahead = gone < 0  # before the first run start of the text
+        prior[ahead], shared[ahead] = place[ahead], 0
+        return prior, shared
 
     def count(self, pattern: str) -> int:
         """Occurrences of ``pattern``, by backward search over the runs."""
@@ -209,25 +232,37 @@ def repeats(texts: list[str], lo: np.ndarray, hi: np.ndarray, least: int) -> lis
     """(window, start, end, first) of the stretches of ``least`` characters or more that documents share. lo, hi: a window's first and last document. first: the
     window's first document is the stretch's first."""
     index = RunIndex(texts)
-    sa = index.sa
-    shared = index.matching_statistics()[sa]
-    long = index.left[sa] >= least
-    new = np.ones(len(sa), bool)
-    new[1:] = shared[1:] < least
-    starts = np.flatnonzero(new)
-    owner = index.owner[sa]
-    group_lo, group_hi = np.minimum.reduceat(lo[owner], starts), np.maximum.reduceat(hi[owner], starts)
-    size = np.diff(np.r_[starts, len(sa)])
-    first_doc, many = np.repeat(group_lo, size), np.repeat(group_lo < group_hi, size) & long
+    prior, shared = index.matching_statistics()
+    # suffixes that share enough with the one before are chains in the suffix array's order; a chain's members all share that much
+    linked = np.flatnonzero(shared >= least)
+    places = np.unique(np.concatenate([linked, prior[linked]]))
+    up = np.arange(len(places))
+    up[np.searchsorted(places, linked)] = np.searchsorted(places, prior[linked])
+    while ((higher := up[up]) != up).any():
+        up = higher
+    owner = index.owner(places)
+    low, high = lo[owner].copy(), hi[owner].copy()
+    np.minimum.at(low, up, lo[owner])
+    np.maximum.at(high, up, hi[owner])
+    many, first_doc = (low < high)[up], low[up]
+    # a window alone is a repeat where its own documents are several
+    own = np.flatnonzero(lo < hi)
+    begins = index.ends - np.array([len(t) for t in texts], np.int64)
+    whole = np.concatenate([np.arange(begins[w], index.ends[w] - least + 1) for w in own.tolist()]) if len(own) else np.zeros(0, np.int64)
+    whole = np.setdiff1d(whole, places, assume_unique=True)
+    places = np.concatenate([places, whole])
+    many = np.concatenate([many, np.ones(len(whole), bool)])
+    owner = index.owner(places)
+    leads = np.concatenate([first_doc, lo[owner[len(first_doc) :]]]) == lo[owner]
     out = []
     for first in (True, False):
-        mark = np.zeros(len(sa) + 2, np.int8)
-        mark[sa[many & ((first_doc == lo[owner]) == first)] + 1] = 1
+        mark = np.zeros(len(index.codes) + 2, np.int8)
+        mark[places[many & (leads == first)] + 1] = 1
         step = np.diff(mark)
         begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        own = index.owner[begin] if len(begin) else begin
+        of = index.owner(begin)
         # marks of neighbouring windows never touch: a separator and least - 1 unmarked places lie between
-        out += [(w, s, e, first) for w, s, e in zip(own.tolist(), (begin - index.start[own]).tolist(), (end - 1 - index.start[own] + least).tolist(), strict=True)]
+        out += [(w, s, e, first) for w, s, e in zip(of.tolist(), (begin - begins[of]).tolist(), (end - 1 - begins[of] + least).tolist(), strict=True)]
     return out
 
 
@@ -312,8 +347,10 @@ def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     first: no document with a smaller doc_id has them; where first is false, one does. A stretch is the union of matches of at least ``min_chars``; what a document
     repeats within itself only isn't one. sig is xxhash64 of the text: rows with one doc_id but other texts have spans of their own and aren't
     another document to each other; equal rows share theirs. Rows with a NULL doc_id or text, and texts shorter than ``min_chars``, have none. Texts are searched
-    whole. An empty table gives no rows; other columns are ignored.
+    whole. An empty table gives no rows; other columns are ignored. Identifiers are whole numbers (TypeError for others); ``min_chars`` is 1 or more.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be a whole number")
     texts = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
     found = texts.mapInPandas(_anchor_rows(min_chars), ANCHORS)
     w = Window.partitionBy("anchor")

@@ -83,17 +83,21 @@ def test_odd_rows(spark, odd_docs, clashing_docs, no_docs, odd_rows):
 @given(st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=5))
 def test_index_against_sorted_suffixes(texts):
     index = runindex.RunIndex(texts)
-    sa = index.sa.tolist()
     codes = index.codes.tolist()
-    assert sa == sorted(range(len(codes)), key=lambda i: codes[i:])
-    assert len(index.heads) <= len(codes) and (index.first == index.sa[index.heads]).all()
-    stats = index.matching_statistics()
+    sa = sorted(range(len(codes)), key=lambda i: codes[i:])
+    bwt = [codes[i - 1] for i in sa]
+    heads = [p for p in range(len(sa)) if p == 0 or bwt[p] != bwt[p - 1] or bwt[p] == 0]
+    assert index.heads.tolist() == heads and index.symbols.tolist() == [bwt[p] for p in heads]
+    assert index.first.tolist() == [sa[p] for p in heads] and index.last.tolist() == [sa[p - 1] for p in [*heads[1:], len(sa)]]
+    prior, stats = index.matching_statistics()
+    left = index.left(np.arange(len(codes)))
     for a, b in zip(sa, sa[1:]):
         n = 0
-        most = min(int(index.left[a]), int(index.left[b]))
+        most = min(int(left[a]), int(left[b]))
         while n < most and codes[a + n] == codes[b + n]:
             n += 1
-        assert stats[b] == n
+        assert stats[b] == n and (not n or prior[b] == a)
+    assert stats[sa[0]] == 0
     text = texts[0]
     for pattern in {text[:3], text[-2:], "ab", "c"}:
         assert index.count(pattern) == sum(t[i:].startswith(pattern) for t in texts for i in range(len(t)))
@@ -113,3 +117,28 @@ def test_every_stretch_lies_in_one_window():
     stretches = [i for s, e in zip(a.tolist(), b.tolist(), strict=True) for i in range(s, e - runindex.MIN_CHARS + 1)]
     assert sorted(stretches) == list(range(len(text) - runindex.MIN_CHARS + 1))
     assert runindex.anchors("short") is None
+
+
+def test_the_index_is_as_long_as_there_are_runs():
+    rng = random.Random(14)
+    base = sentence(rng, 800)
+    sizes = []
+    for copies in (4, 64):
+        texts = [base[:k] + "!" + base[k + 1 :] for k in (rng.randrange(len(base)) for _ in range(copies))]
+        index = runindex.RunIndex(texts)
+        runs = len(index.heads)
+        assert index.index_bytes() <= 48 * runs + 8 * copies
+        sizes.append((runs, len(index.codes)))
+    (few, short), (many, long) = sizes
+    assert long > 15 * short and many < 3 * few and many < long / 20
+
+
+def test_short_passages_and_other_identifiers(spark):
+    import pytest
+
+    rows = [(1, "one passage here, twenty odd letters"), (2, "and one passage here, twenty odd"), (3, "nothing of it")]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
+    for least in (20, 5):
+        assert rows_of(runindex.repeated_passages(docs, least)) == expected(spark, rows, least)
+    with pytest.raises(TypeError):
+        runindex.repeated_passages(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text"))

@@ -8,9 +8,9 @@ to observed frequency, and averaged with it. The cost of a bit is its negative l
 Weights and maps are the document's own from its first byte to its last, whatever its length; they move along the coding error after every STEP bytes, as
 the decoder could too. Thousands of documents advance in step as numpy arrays.
 
-No document is scored by its own counts: documents are in two halves by a hash of their identifier, and the counts of each half score the other. The counts, by
-context and byte, are one shuffle of each partition's sums and grow with the corpus. From them the executors make the predictors' logits, in hashed tables of at most
-2**SLOT_BITS slots each, which are all that reaches the driver and the workers: 2 x (2**16 + 3 x 2**SLOT_BITS) bytes at most.
+No document is scored by its own counts: documents are in two halves by a hash of their identifier, and the counts of each half score the other. The counts of all contexts and
+bytes of the corpus are gathered as sorted arrays of each partition's sums, by regions of the contexts' hashes, and grow with it. From a region's counts an executor makes its part of the predictors' logits,
+in hashed tables of 2**SLOT_BITS slots, which are all that reaches the driver and the workers: 13.7 MB for each half.
 """
 
 from __future__ import annotations
@@ -21,40 +21,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import byte_batches, joined, lean, materialise, small_batches
 
-#: Slots of a hashed table, as a power of two, at most; regions that are made apart.
-SLOT_BITS, LEAST_BITS, REGION_BITS = 23, 14, 5
-STEP = 32
+#: Slots of each order's table and regions of it that are made apart, as powers of two; input partitions whose sums are added up before all are.
+SLOT_BITS, REGION_BITS, FAN_IN = (16, 20, 22, 23), 3, 256
+STEP = 64
 ORDERS, HALVES = 4, 2
 #: Bytes that are coded side by side, and bytes whose cells are sorted at once.
-LANE_BYTES, COUNT_BYTES = 8 << 20, 2 << 20
+LANE_BYTES, COUNT_BYTES, HELD_BYTES = 4 << 20, 2 << 20, 24 << 20
 RATE, MAP_RATE, FIRST_WEIGHT = 0.01, 0.02, 0.3
 GATES, MAP_DEPTHS, MAP_STEPS = 4, 8, 33
 _MUL = np.uint32(0x9E3779B1)
-_WORD_BASE = 0xC6A4A7935BD1E995
+_WORD_BASE = 0x5BD1E995
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Powers that a worker keeps.
-MOST_KEPT = 1 << 20
+MOST_KEPT = 5 << 20
 
 
-_KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+_KEPT = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0 to n - 1 of the word hash's base and of its inverse, modulo 2**64."""
-    if n > MOST_KEPT:
-        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_WORD_BASE, pow(_WORD_BASE, -1, 1 << 64)))
-    if len(_KEPT[0]) < n:
-        for i, x in enumerate((_WORD_BASE, pow(_WORD_BASE, -1, 1 << 64))):
-            p = np.full(n, x, np.uint64)
-            p[0] = 1
-            _KEPT[i] = np.cumprod(p)
-    return _KEPT[0][:n], _KEPT[1][:n]
+    """The powers 0 to n - 1 of the word hash's base and of its inverse, modulo 2**32."""
+    made = len(_KEPT[0]) < n
+    found = [np.cumprod(np.r_[np.uint32(1), np.full(n - 1, x, np.uint32)], dtype=np.uint32) for x in (_WORD_BASE, pow(_WORD_BASE, -1, 1 << 32))] if made else _KEPT
+    if made and n <= MOST_KEPT:
+        _KEPT[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -71,11 +69,11 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begin[1:] |= ~_LETTER[data]
     start = np.maximum.accumulate(np.where(begin[:-1], np.arange(n), 0))
     power, back = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * back[:-1], out=sums[1:])
+    sums = np.zeros(n + 1, np.uint32)
+    np.cumsum((data.astype(np.uint32) + np.uint32(1)) * back[:-1], dtype=np.uint32, out=sums[1:])
     word = (sums[:-1] - sums[start]) * power[:-1]
     two = c1 | c2 << np.uint32(8)
-    return np.stack([c1, two, two | c3 << np.uint32(16), (word >> np.uint64(40)).astype(np.uint32)])
+    return np.stack([c1, two, two | c3 << np.uint32(16), word >> np.uint32(8)])
 
 
 def _summed(cells: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +87,23 @@ def _summed(cells: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndar
     return cells[starts], np.diff(np.r_[starts, len(cells)]) if times is None else np.add.reduceat(times, starts) if len(starts) else times
 
 
+#: A partition's or region's sums: sorted cells (context and byte) as 4-byte and how often each is there as 8-byte numbers.
+SUMS = "part int, region int, salt int, cells binary, times binary"
+
+
+def _regions(part: int, cells: np.ndarray, times: np.ndarray, salt: int) -> Iterator[pd.DataFrame]:
+    of = region_of(cells, part % ORDERS)
+    for r in range(1 << REGION_BITS):
+        own = of == r
+        if own.any():
+            yield pd.DataFrame({"part": [part], "region": [r], "salt": [salt], "cells": [cells[own].tobytes()], "times": [times[own].astype(np.int64).tobytes()]})
+
+
 @lean
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames: text, half -> part (half and order), cell (context and byte), times; a partition's sums."""
+    """Frames: text, half -> SUMS of a partition; the first two orders are part of the third."""
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * (HALVES * ORDERS)
     fresh: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in held]
-    size = 0
 
     def settle() -> None:
         for p, found in enumerate(fresh):
@@ -103,31 +112,64 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found.clear()
 
     waiting: list[list[bytes]] = [[] for _ in range(HALVES)]
+    sizes = [0] * HALVES
 
     def take(half: int) -> None:
-        raw, waiting[half] = waiting[half], []
+        raw, waiting[half], sizes[half] = waiting[half], [], 0
         for first, last in byte_batches(raw, COUNT_BYTES):
             data, offsets = joined(raw[first:last])
-            for k, c in enumerate(contexts(data, offsets)):
-                fresh[half * ORDERS + k].append(_summed(c << np.uint32(8) | data))
+            found = contexts(data, offsets)
+            for k in (2, 3):
+                fresh[half * ORDERS + k].append(_summed(found[k] << np.uint32(8) | data))
+        if sum(len(x) for own in fresh for x, _ in own) > 1 << 22:
+            settle()
 
     for frame in frames:
         for half, text in zip(frame["half"].tolist(), frame["text"].tolist(), strict=True):
             waiting[half].append(text.encode("utf-8", "replace"))
-            size += len(waiting[half][-1])
-            if size > 2 * COUNT_BYTES:
-                for h in range(HALVES):
-                    take(h)
-                size = 0
-                if sum(len(x) for found in fresh for x, _ in found) > 1 << 22:
-                    settle()
+            sizes[half] += len(waiting[half][-1])
+            if sizes[half] > COUNT_BYTES:
+                take(half)
     for h in range(HALVES):
         take(h)
     settle()
-    for p, (cells, times) in enumerate(held):
-        for at in range(0, len(cells), 1 << 17):
-            part = slice(at, at + (1 << 17))
-            yield pd.DataFrame({"part": np.int32(p), "cell": cells[part].view(np.int32), "times": times[part]})
+    salt = TaskContext.get().partitionId() // FAN_IN if TaskContext.get() else 0
+    for h in range(HALVES):
+        cells, times = held[h * ORDERS + 2]
+        byte, context = cells & np.uint32(255), cells >> np.uint32(8)
+        for k, mask in ((0, 255), (1, 65535)):
+            yield from _regions(h * ORDERS + k, *_summed((context & np.uint32(mask)) << np.uint32(8) | byte, times), salt)
+        for k in (2, 3):
+            yield from _regions(h * ORDERS + k, *held[h * ORDERS + k], salt)
+
+
+@lean
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SUMS sorted by part, region and salt -> their totals, one row for each. What is held is as much as the different cells of one of them."""
+    key, held, waiting, size = None, None, [], 0
+
+    def settle() -> None:
+        nonlocal held, waiting, size
+        if waiting:
+            held = _summed(*(np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)))
+            waiting, size = [], 0
+
+    def total() -> pd.DataFrame:
+        settle()
+        return pd.DataFrame({"part": [key[0]], "region": [key[1]], "salt": [key[2]], "cells": [held[0].tobytes()], "times": [held[1].tobytes()]})
+
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            if (row.part, row.region, row.salt) != key:
+                if key is not None:
+                    yield total()
+                key, held = (row.part, row.region, row.salt), None
+            waiting.append((np.frombuffer(row.cells, np.uint32), np.frombuffer(row.times, np.int64)))
+            size += len(waiting[-1][0])
+            if size > 1 << 22:
+                settle()
+    if key is not None:
+        yield total()
 
 
 def half_of(doc_id: Column) -> Column:
@@ -136,32 +178,44 @@ def half_of(doc_id: Column) -> Column:
 
 
 def gather_counts(docs: DataFrame) -> DataFrame:
-    """(part, cell, times) over all texts: how often each byte followed each context of each order in each half."""
+    """SUMS over all texts, a row for each part (half and order) and region: how often each byte followed each context. FAN_IN partitions are added up first, then all."""
     texts = docs.where(F.length("text") > 0).select("text", half_of(F.col("doc_id")).alias("half"))
-    return texts.mapInPandas(_count, "part int, cell int, times long").groupBy("part", "cell").agg(F.sum("times").alias("times"))
+    some = texts.mapInPandas(_count, SUMS)
+    for salt in (F.col("salt"), F.lit(0)):
+        keys = ["part", "region", "salt"]
+        some = some.withColumn("salt", salt).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_added, SUMS)
+    return some
 
 
 @dataclass
 class Model:
-    """tables: of each half the logits of a one bit, in sixteenths, in each slot of each order; bits: an order's slots as a power of two. nodes, path: (depth, byte) nodes and bits of a byte's
+    """tables: of each half the logits of a one bit, in sixteenths, in each slot of each order. nodes, path: (depth, byte) nodes and bits of a byte's
     path in the code tree; length: a byte's depth."""
 
-    tables: list[np.ndarray]
-    bits: list[int]
+    tables: np.ndarray
     nodes: np.ndarray
     path: np.ndarray
     length: np.ndarray
 
 
-def slots(context: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _mixed(context: np.ndarray) -> np.ndarray:
+    mixed = context * _MUL
+    mixed ^= mixed >> np.uint32(15)
+    return mixed * np.uint32(0x85EBCA77)
+
+
+def region_of(cells: np.ndarray, order: int) -> np.ndarray:
+    """The region that a cell's row is in."""
+    return (cells >> np.uint32(8) if order == 0 else _mixed(cells >> np.uint32(8)) >> np.uint32(24)) >> np.uint32(8 - REGION_BITS)
+
+
+def slots(context: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each context the row of 256 slots in its order's table, and what its nodes' numbers are mixed with there: contexts that share a row have their nodes in
     other slots. The first order's rows are its contexts."""
     if order == 0:
         return context, np.zeros_like(context)
-    mixed = context * _MUL
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= np.uint32(0x85EBCA77)
-    return mixed >> np.uint32(32 - (bits - 8)), (mixed >> np.uint32(1)) & np.uint32(255)
+    mixed = _mixed(context)
+    return mixed >> np.uint32(32 - (SLOT_BITS[order] - 8)), (mixed >> np.uint32(1)) & np.uint32(255)
 
 
 def _code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,104 +244,87 @@ def _code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes, bits, length
 
 
-def region(cells: np.ndarray, times: np.ndarray, order: int, bits: int, first: int, rows: int, nodes: np.ndarray, path: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The logits of ``rows`` rows from row ``first`` on, from the counts of the contexts that are there."""
-    row, mix = slots(cells >> np.uint32(8), order, bits)
-    base, byte = (row.astype(np.int64) - first) << 8, (cells & np.uint32(255)).astype(np.int64)
-    sums = np.zeros((2, rows << 8))
+def region(cells: np.ndarray, times: np.ndarray, order: int, number: int, nodes: np.ndarray, path: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The logits of a region of an order's table, from the counts of the contexts that are there."""
+    size = 1 << SLOT_BITS[order] - REGION_BITS
+    row, mix = slots(cells >> np.uint32(8), order)
+    base, byte = (row.astype(np.int64) << 8) - number * size, (cells & np.uint32(255)).astype(np.int64)
+    sums = np.zeros((2, size))
     for d in range(len(nodes)):
         on = length[byte] > d
         base, byte, mix, times = base[on], byte[on], mix[on], times[on]
         at, bit = base + (nodes[d][byte] ^ mix), path[d][byte]
         for b in (0, 1):
-            sums[b] += np.bincount(at[bit == b], times[bit == b], rows << 8)
+            sums[b] += np.bincount(at[bit == b], times[bit == b], size)
     return np.clip(np.rint(16 * np.log((sums[1] + 0.4) / (sums[0] + 0.4))), -127, 127).astype(np.int8)
 
 
+#: Where the orders' tables begin, one after the other.
+BEGIN = np.cumsum([0] + [1 << b for b in SLOT_BITS])
+
+
 def fit(docs: DataFrame) -> Model:
     """Gather the counts of all documents; the executors make the tables, and the driver puts their regions together."""
     small_batches(docs.sparkSession)
     counts = materialise(gather_counts(docs))
-    known = counts.groupBy("part").agg(F.approx_count_distinct(F.shiftrightunsigned("cell", 8), 0.1).alias("n")).collect()
+
+    def bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for cells, times in zip(frame["cells"], frame["times"], strict=True):
+                found = np.bincount(np.frombuffer(cells, np.uint32) & 255, np.frombuffer(times, np.int64), 256)
+                yield pd.DataFrame({"byte": np.arange(256, dtype=np.int32), "times": found.astype(np.int64)})
+
     weights = np.zeros(256)
-    for r in counts.where(F.col("part") % ORDERS == 0).groupBy(F.col("cell").bitwiseAND(255).alias("byte")).agg(F.sum("times").alias("times")).collect():
+    first = counts.where(F.col("part") % ORDERS == 0).mapInPandas(bytes_of, "byte int, times long")
+    for r in first.groupBy("byte").agg(F.sum("times").alias("times")).collect():
         weights[r["byte"]] = r["times"]
     nodes, path, length = _code(weights + max(1.0, weights.sum() / 4096))  # so that no path is long
-    bits = [16] * ORDERS
-    for k in range(1, ORDERS):
-        most = max([r["n"] for r in known if r["part"] % ORDERS == k], default=1)
-        bits[k] = min(SLOT_BITS, max(LEAST_BITS, int(most).bit_length() + 4))
 
     @lean
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        for frame in frames:
-            part, cell, times = frame["part"].to_numpy(), frame["cell"].to_numpy(np.int32).view(np.uint32), frame["times"].to_numpy(np.float64)
-            for p in np.unique(part).tolist():
-                own = part == p
-                held.setdefault(p, []).append((cell[own], times[own]))
-            for p in list(held):
-                if sum(len(c) for c, _ in held[p]) > 1 << 20:
-                    yield from regions(p, held.pop(p))
-        for p, found in held.items():
-            yield from regions(p, found)
-
-    def regions(p: int, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        cells, times = (np.concatenate(x) for x in zip(*found, strict=True))
-        k = p % ORDERS
-        row, _ = slots(cells >> np.uint32(8), k, bits[k])
-        shift = bits[k] - 8 - REGION_BITS
-        for r in np.unique(row >> np.uint32(shift)).tolist():
-            own = row >> np.uint32(shift) == r
-            yield pd.DataFrame({"part": [p], "region": [r], "cells": [cells[own].tobytes()], "times": [times[own].tobytes()]})
-
     def logits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, r, cells, times in zip(frame["part"].tolist(), frame["region"].tolist(), frame["cells"], frame["times"], strict=True):
-                k = p % ORDERS
-                rows = 1 << bits[k] - 8 - REGION_BITS
-                c, t = (np.concatenate([np.frombuffer(x, kind) for x in blobs]) for blobs, kind in ((cells, np.uint32), (times, np.float64)))
-                yield pd.DataFrame({"part": [p], "region": [r], "logits": [region(c, t, k, bits[k], r * rows, rows, nodes, path, length).tobytes()]})
-
-    pieces = counts.mapInPandas(make, "part int, region int, cells binary, times binary").groupBy("part", "region").agg(F.collect_list("cells").alias("cells"), F.collect_list("times").alias("times"))
-    begin = np.cumsum([0] + [1 << b for b in bits])
-    tables = [np.zeros(begin[-1], np.int8) for _ in range(HALVES)]
-    for r in pieces.mapInPandas(logits, "part int, region int, logits binary").toLocalIterator():
+                made = region(np.frombuffer(cells, np.uint32), np.frombuffer(times, np.int64).astype(np.float64), p % ORDERS, r, nodes, path, length)
+                yield pd.DataFrame({"part": [p], "region": [r], "logits": [made.tobytes()]})
+
+    tables = np.zeros(HALVES * BEGIN[-1], np.int8)
+    for r in counts.mapInPandas(logits, "part int, region int, logits binary").toLocalIterator():
         piece = np.frombuffer(r["logits"], np.int8)
-        at = begin[r["part"] % ORDERS] + r["region"] * len(piece)
-        tables[r["part"] // ORDERS][at : at + len(piece)] = piece
-    return Model(tables, bits, nodes, path, length)
+        at = r["part"] // ORDERS * BEGIN[-1] + BEGIN[r["part"] % ORDERS] + r["region"] * len(piece)
+        tables[at : at + len(piece)] = piece
+    return Model(tables, nodes, path, length)
 
 
-def code_lengths(texts: list[bytes], half: int, model: Model) -> np.ndarray:
-    """Bits of each text of a half, by the counts of the other."""
+def code_lengths(texts: list[bytes], halves: np.ndarray, model: Model) -> np.ndarray:
+    """Bits of each text, by the counts of the half that it isn't in."""
     total = np.zeros(len(texts))
     by = np.argsort([-len(t) for t in texts], kind="stable")
     ranked = [texts[i] for i in by.tolist()]
     for first, last in byte_batches(ranked, LANE_BYTES):
         data, offsets = joined(ranked[first:last])
-        total[by[first:last]] = _advance(data, offsets, model.tables[(half + 1) % HALVES], model)
+        total[by[first:last]] = _advance(data, offsets, (halves[by[first:last]] + 1) % HALVES, model)
     return total
 
 
-def _advance(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray, model: Model) -> np.ndarray:
-    """Bits of the texts, longest first; all move on by STEP bytes at a time."""
+def _advance(data: np.ndarray, offsets: np.ndarray, halves: np.ndarray, model: Model) -> np.ndarray:
+    """Bits of the texts, longest first, by the counts of ``halves``; all move on by STEP bytes at a time."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     cost = np.zeros(n)
     if not len(data):
         return cost
     # of each byte and order the slot of its contexts' node 0; another node's number is mixed into its lowest 8 bits
-    begin = np.cumsum([0] + [1 << b for b in model.bits])
-    known = np.empty((ORDERS, len(data)), np.int32)
+    known = np.empty((len(data), ORDERS), np.int32)
     for k, c in enumerate(contexts(data, offsets)):
-        row, mix = slots(c, k, model.bits[k])
-        known[k] = (row << np.uint32(8) | mix).astype(np.int32) + begin[k]
+        row, mix = slots(c, k)
+        known[:, k] = row << np.uint32(8) | mix
+        known[:, k] += np.int32(BEGIN[k])
+    known += np.repeat((halves * BEGIN[-1]).astype(np.int32), sizes)[:, None]
     # a lane's four weights are read as one 16-byte item; they belong to logits in sixteenths
     weights = np.full((GATES, n, ORDERS), FIRST_WEIGHT / 16, np.float32)
     start = (1 / (1 + np.exp(-(np.arange(MAP_STEPS) - MAP_STEPS // 2) / 2))).astype(np.float32)
     maps = np.broadcast_to(start, (MAP_DEPTHS, n, MAP_STEPS)).copy().reshape(MAP_DEPTHS, -1)
-    one, half, map_rate = np.float32(1), np.float32(0.5), np.float32(MAP_RATE)
+    one, half, map_rate, low, high = np.float32(1), np.float32(0.5), np.float32(MAP_RATE), np.float32(-7.9), np.float32(7.9)
     steps = -(-sizes // STEP)
     for t in range(int(steps[0])):
         m = int(np.searchsorted(-steps, -t, side="left"))
@@ -295,38 +332,46 @@ def _advance(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray, model: M
         lane = np.repeat(np.arange(m, dtype=np.int32), STEP)
         if (inside := at < np.repeat(offsets[1 : m + 1], STEP)).sum() < len(at):
             at, lane = at[inside], lane[inside]
+        begin = np.flatnonzero(np.r_[True, lane[1:] != lane[:-1]])
         symbols = data[at]
         length = model.length.take(symbols)
-        rows = known[:, at]
+        rows = known.take(at, axis=0)
         moves = np.zeros((GATES, m, ORDERS), np.float32)
         for d in range(int(length.max())):
             if d:
                 on = np.flatnonzero(length > d)
-                length, symbols, lane, rows = length.take(on), symbols.take(on), lane.take(on), rows.take(on, axis=1)
+                length, symbols, lane, rows = length.take(on), symbols.take(on), lane.take(on), rows.take(on, axis=0)
             bit, gate = model.path[d].take(symbols), min(d, GATES - 1)
-            x = tables.take(rows ^ model.nodes[d].take(symbols)).astype(np.float32)
+            x = model.tables.take(rows ^ model.nodes[d].take(symbols)[:, None]).astype(np.float32)
             w = weights[gate].view(np.complex128)[:, 0].take(lane).view(np.float32).reshape(-1, ORDERS)
-            z = w[:, 0] * x[0]
-            for k in range(1, ORDERS):
-                z += w[:, k] * x[k]
-            np.clip(z, -7.9, 7.9, out=z)
+            z = np.einsum("ij,ij->i", w, x)
+            np.minimum(np.maximum(z, low, out=z), high, out=z)
             p = np.exp(-z)
             p += one
             np.reciprocal(p, out=p)
-            x *= bit - p
-            first = np.flatnonzero(lane[1:] != lane[:-1]) + 1
-            first = np.concatenate([[0], first])
-            own = lane[first]
-            moves[gate, own] += np.add.reduceat(x, first, axis=1).T
+            x *= (bit - p)[:, None]
+            if d:
+                first = np.flatnonzero(lane[1:] != lane[:-1])
+                first += 1
+                first = np.concatenate([[0], first])
+                own = lane.take(first)
+                own = slice(0, m) if len(own) == m else own
+            else:
+                first, own = begin, slice(0, m)
+            moves[gate, own] += np.add.reduceat(x, first, axis=0)
             # of the bits of a step that meet in a cell of the map, the last moves it
             z += z
-            cell = lane * MAP_STEPS + (np.rint(z).astype(np.int32) + MAP_STEPS // 2)
+            cell = np.rint(z, out=z).astype(np.int32)
+            cell += lane * np.int32(MAP_STEPS) + np.int32(MAP_STEPS // 2)
             refined = maps[min(d, MAP_DEPTHS - 1)]
             v = refined.take(cell)
             p += v
             p *= half
             refined[cell] = v + (bit - v) * map_rate
-            cost[own] -= np.add.reduceat(np.log(np.abs(one - bit - p)), first, dtype=np.float64)
+            p -= bit
+            np.abs(p, out=p)
+            np.subtract(one, p, out=p)
+            cost[own] -= np.add.reduceat(np.log(p, out=p), first)
         weights[:, :m] += np.float32(RATE / 256) * moves
     return cost / np.log(2)
 
@@ -347,7 +392,7 @@ def score(docs: DataFrame, model=None) -> DataFrame:
         for frame in frames:
             held.append(frame)
             size += int(frame["text"].str.len().sum())
-            if size > LANE_BYTES:
+            if size > HELD_BYTES:
                 yield scored(pd.concat(held, ignore_index=True))
                 held, size = [], 0
         if held:
@@ -356,10 +401,7 @@ def score(docs: DataFrame, model=None) -> DataFrame:
     def scored(frame: pd.DataFrame) -> pd.DataFrame:
         raw = [(t or "").encode("utf-8", "replace") for t in frame["text"].tolist()]
         null, half = frame["text"].isna().to_numpy(), frame["half"].to_numpy()
-        bits = np.zeros(len(raw))
-        for h in range(HALVES):
-            own = np.flatnonzero(half == h)
-            bits[own] = code_lengths([raw[i] for i in own.tolist()], h, shared.value)
+        bits = code_lengths(raw, half, shared.value)
         size = np.array([len(t) for t in raw], np.int64)
         rate = np.divide(bits, size, out=np.full(len(raw), np.nan), where=size > 0)
         return pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": pd.Series(pd.array(size, "Int64")).mask(null), "bits": pd.Series(pd.array(bits, "Float64")).mask(null), "bits_per_byte": pd.Series(rate, dtype="Float64").mask(size == 0)})

@@ -10,7 +10,7 @@ from tests.llm.conftest import rows_of, sentence
 from quernstone.llm import ctxmix
 
 
-M32, M64 = (1 << 32) - 1, (1 << 64) - 1
+M32 = (1 << 32) - 1
 LETTERS = {*range(65, 91), *range(97, 123), *range(128, 256)}
 
 
@@ -19,26 +19,26 @@ def contexts(data):
     out, word = [], 0
     for i, byte in enumerate(data):
         at = lambda k, i=i: data[i - k] if i >= k else 0
-        out.append([at(1), at(1) | at(2) << 8, at(1) | at(2) << 8 | at(3) << 16, word >> 40])
-        word = (word + byte + 1) * 0xC6A4A7935BD1E995 & M64 if byte in LETTERS else 0
+        out.append([at(1), at(1) | at(2) << 8, at(1) | at(2) << 8 | at(3) << 16, word >> 8])
+        word = (word + byte + 1) * 0x5BD1E995 & M32 if byte in LETTERS else 0
     return out
 
 
-def slot(context, order, bits, node):
+def slot(context, order, node):
     if order == 0:
         return context << 8 | node
     h = context * 0x9E3779B1 & M32
     h ^= h >> 15
     h = h * 0x85EBCA77 & M32
-    return h >> 32 - (bits - 8) << 8 | (node ^ (h >> 1 & 255))
+    return h >> 32 - (ctxmix.SLOT_BITS[order] - 8) << 8 | (node ^ (h >> 1 & 255))
 
 
 class PlainModel:
     """Tree and logits from the texts alone: dictionaries, and a Huffman tree of its own."""
 
-    def __init__(self, texts, counted, bits):
+    def __init__(self, texts, counted):
         """texts: those whose bytes make the tree; counted: those whose contexts are counted."""
-        self.bits, counts, weights = bits, {}, [0] * 256
+        counts, weights = {}, [0] * 256
         for t in texts:
             for b in t:
                 weights[b] += 1
@@ -64,7 +64,7 @@ class PlainModel:
             for b, cs in zip(t, contexts(t), strict=True):
                 for k, c in enumerate(cs):
                     for node, bit in self.paths[b]:
-                        counts.setdefault((k, slot(c, k, bits[k], node)), [0, 0])[bit] += 1
+                        counts.setdefault((k, slot(c, k, node)), [0, 0])[bit] += 1
         self.logits = {at: max(-127, min(127, round(16 * math.log((one + 0.4) / (zero + 0.4))))) for at, (zero, one) in counts.items()}
 
     def cost(self, data):
@@ -83,7 +83,7 @@ class PlainModel:
                     if len(path) <= d:
                         continue
                     node, bit = path[d]
-                    x = [self.logits.get((k, slot(c, k, self.bits[k], node)), 0) / 16 for k, c in enumerate(known[i])]
+                    x = [self.logits.get((k, slot(c, k, node)), 0) / 16 for k, c in enumerate(known[i])]
                     g = min(d, ctxmix.GATES - 1)
                     z = max(-7.9, min(7.9, sum(a * b for a, b in zip(weights[g], x, strict=True))))
                     p = 1 / (1 + math.exp(-z))
@@ -117,7 +117,10 @@ def test_counts_equal_those_of_the_definition(spark):
             for k, c in enumerate(cs):
                 at = (half[n] * 4 + k, c << 8 | b)
                 want[at] = want.get(at, 0) + 1
-    assert {(r["part"], r["cell"] & M32): r["times"] for r in ctxmix.gather_counts(docs).collect()} == want
+    rows = ctxmix.gather_counts(docs.repartition(3)).collect()
+    assert len({(r["part"], r["region"]) for r in rows}) == len(rows)
+    got = [((r["part"], int(c)), int(t)) for r in rows for c, t in zip(np.frombuffer(r["cells"], np.uint32), np.frombuffer(r["times"], np.int64), strict=True)]
+    assert len(dict(got)) == len(got) and dict(got) == want
 
 
 def test_bits_of_the_query_equal_a_plain_coder(spark):
@@ -128,9 +131,8 @@ def test_bits_of_the_query_equal_a_plain_coder(spark):
     assert len(texts[-1]) > 10_000
     docs, half = by_half(spark, texts)
     assert set(half.values()) == {0, 1}
-    bits = ctxmix.fit(docs).bits
     raw = [t.encode() for t in texts]
-    plain = [PlainModel(raw, [t for n, t in enumerate(raw) if half[n] != h], bits) for h in range(2)]
+    plain = [PlainModel(raw, [t for n, t in enumerate(raw) if half[n] != h]) for h in range(2)]
     for r in ctxmix.score(docs).collect():
         assert r["bits"] == pytest.approx(plain[half[r["doc_id"]]].cost(texts[r["doc_id"]].encode()), rel=2e-3, abs=0.05)
 

@@ -15,7 +15,7 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nndescent.neighbours_of_all(read(spark, sf_dir, "embeddings"))
+    return nndescent.nearest_neighbours(read(spark, sf_dir, "embeddings"))
 
 
 def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,11 +146,17 @@ def test_every_row_finds_its_neighbours(spark, sf, noise):
     k = 10
     floor = -np.sort(-cosine, axis=1)[:, k - 1]
     at = {v: i for i, v in enumerate(ids)}
-    out = nndescent.neighbours_of_all(vectors, k).collect()
+    out = nndescent.nearest_neighbours(vectors, k, every=1).collect()
     assert len(out) == len(ids) * k and {r["rank"] for r in out} == set(range(1, k + 1))
-    hits = sum(cosine[at[r["vec_id"]], at[r["neighbour_id"]]] >= floor[at[r["vec_id"]]] - 2e-3 for r in out)
-    assert hits >= 0.9 * len(out)
-    assert all(abs(cosine[at[r["vec_id"]], at[r["neighbour_id"]]] - r["cosine"]) < 5e-3 for r in out)
+    hits = sum(cosine[at[r["vec_id"]], at[r["neighbour_id"]]] >= floor[at[r["vec_id"]]] - 1e-9 for r in out)
+    assert hits >= 0.95 * len(out)
+    assert all(abs(cosine[at[r["vec_id"]], at[r["neighbour_id"]]] - r["cosine"]) < 1e-9 for r in out)
+    if noise == "table":
+        return
+    some = nndescent.nearest_neighbours(vectors, k).collect()
+    asked = {v for v in ids if v % nndescent.EVERY == 0}
+    assert {r["vec_id"] for r in some} == asked and len(some) == k * len(asked)
+    assert sum(cosine[at[r["vec_id"]], at[r["neighbour_id"]]] >= floor[at[r["vec_id"]]] - 1e-9 for r in some) >= 0.95 * len(some)
 
 
 def test_greedy_search_for_other_queries(spark):
@@ -160,12 +166,13 @@ def test_greedy_search_for_other_queries(spark):
     rng = np.random.default_rng(9)
     q = unit(x[rng.integers(0, len(x), 40)] + rng.standard_normal((40, 64)) * 0.1)
     queries = nndescent.prepare(spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(q)], SCHEMA))
-    found = nndescent.search(points, graph, queries, rounds=10).collect()
+    names, asked = ({r["id"]: r["name"] for r in df.collect()} for df in (points, queries))
+    found = nndescent.search(points, graph, queries).collect()
     cosine = q @ unit(x).T
     floor = -np.sort(-cosine, axis=1)[:, 9]
     best = {}
     for r in found:
-        best.setdefault(r["id"], []).append((r["dist"], r["nb"]))
+        best.setdefault(asked[r["id"]], []).append((r["dist"], names[r["nb"]]))
     hits = sum(cosine[i, nb] >= floor[i] - 2e-3 for i, own in best.items() for _, nb in sorted(own)[:10])
     assert hits >= 0.9 * 400
 
@@ -173,26 +180,29 @@ def test_greedy_search_for_other_queries(spark):
 def test_search_goes_on_until_no_beam_has_a_new_node(spark):
     x = [[float(np.cos(a)), float(np.sin(a))] for a in np.linspace(0, np.pi / 2, 8)]
     points = nndescent.prepare(spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], SCHEMA))
-    chain = spark.createDataFrame([(i, j, 0.0) for i in range(8) for j in (i - 1, i + 1) if 0 <= j < 8], nndescent.EDGES)
-    query = points.where("id = 7")
-    start = spark.createDataFrame([(7, 0, 1.0)], nndescent.EDGES)
-    found = nndescent.search(points, chain, query, start=start).collect()
-    assert min((r["dist"], r["nb"]) for r in found)[1] == 7
+    at = {r["name"]: r["id"] for r in points.collect()}
+    chain = spark.createDataFrame([(at[i], at[j], 0.0) for i in range(8) for j in (i - 1, i + 1) if 0 <= j < 8], nndescent.EDGES)
+    start = spark.createDataFrame([(at[7], at[0], 1.0)], nndescent.EDGES)
+    found = nndescent.search(points, chain, points.where("name = 7"), start=start).collect()
+    assert min((r["dist"], r["nb"]) for r in found)[1] == at[7] and len(found) == 8
 
 
 def test_larger_tables_have_wider_beams():
-    assert [nndescent.width(n) for n in (0, 1, 2000, 1 << 16, (1 << 16) + 1, 150_000, 300_000)] == [48, 48, 48, 48, 64, 80, 96]
+    base, more = nndescent.NEIGHBOURS, nndescent.MORE
+    assert [nndescent.width(n) for n in (0, 1, 2000, 1 << 16, (1 << 16) + 1, 150_000, 300_000)] == [base] * 4 + [base + more, base + 2 * more, base + 3 * more]
 
 
 def test_odd_vectors_in_search(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
-    out = nndescent.neighbours_of_all(odd, 3)
+    out = nndescent.nearest_neighbours(odd, 3, every=1)
     got = {}
     for r in out.collect():
         got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"]))
     assert sorted(got) == [1, 2, 3, 4, 5, 6]
     assert [n for _, n in sorted(got[1])] == [2, 3, 4] and [n for _, n in sorted(got[3])] == [1, 2, 4]
-    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("id", "v", "vec", "nb", "dist", "n", "fresh")])
-    assert rows_of(nndescent.neighbours_of_all(clash, 3)) == rows_of(out)
-    assert nndescent.neighbours_of_all(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert nndescent.neighbours_of_all(spark.createDataFrame(ODD[:1], SCHEMA)).count() == 0
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("id", "v", "vec", "nb", "dist", "n", "fresh", "name", "nodes", "seen", "open")])
+    named = odd.where("vec_id IS NOT NULL").select(F.format_string("n%02d", "vec_id").alias("vec_id"), "embedding")
+    assert sorted({r["vec_id"] for r in nndescent.nearest_neighbours(named, 3).collect()}) == [f"n{k:02d}" for k in sorted(got)]
+    assert rows_of(nndescent.nearest_neighbours(clash, 3, every=1)) == rows_of(out)
+    assert nndescent.nearest_neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert nndescent.nearest_neighbours(spark.createDataFrame(ODD[:1], SCHEMA)).count() == 0

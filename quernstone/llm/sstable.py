@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm.common import small_batches
+
 BLOCK_BYTES, RESTART, BITS_PER_KEY, LEVEL = 64 * 1024, 16, 10, 1
 MAGIC = 0x51524E5353544231
 FOOTER = struct.Struct("<QIQIQQ")
@@ -36,10 +38,13 @@ SCHEMA = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("s
 
 
 def encode_key(key: int | str | bytes) -> bytes:
+    """TypeError for a key that is no whole number, string or bytes: others would lose their order or fall together."""
     if isinstance(key, bytes):
         return key
     if isinstance(key, str):
         return key.encode("utf-8", "surrogatepass")
+    if isinstance(key, bool) or not isinstance(key, int | np.integer):
+        raise TypeError(f"{type(key).__name__} can't be a key")
     return struct.pack(">Q", int(key) + (1 << 63))
 
 
@@ -84,16 +89,19 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, count: int, bits: int) -> list[int]:
-    """Double hashing from the two halves of a 128-bit hash."""
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h >> 64, h & (1 << 64) - 1 | 1
-    return [(a + i * b) % bits for i in range(count)]
+def _probes(hashes: bytes, count: int, bits: int) -> np.ndarray:
+    """(probe, key) places by double hashing from the two halves of the keys' 128-bit hashes, modulo 2**64."""
+    b, a = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
+    return (a + np.arange(count, dtype=np.uint64)[:, None] * (b | np.uint64(1))) % np.uint64(bits)
+
+
+def _hash(key: bytes) -> bytes:
+    return xxhash.xxh3_128_intdigest(key).to_bytes(16, "little")
 
 
 @dataclass
 class ShardBuilder:
-    """Takes entries in key order and yields the shard's sections as they are complete; holds one block and the keys' Bloom hashes only."""
+    """Takes entries in key order and yields the shard's sections as they are complete; holds one block, 16 bytes for each key, and the index."""
 
     block_bytes: int = BLOCK_BYTES
     offset: int = 0
@@ -105,7 +113,7 @@ class ShardBuilder:
     first: bytes = b""
     last: bytes = b""
     index: list[tuple[bytes, int, int]] = field(default_factory=list)
-    keys: list[bytes] = field(default_factory=list)
+    hashes: bytearray = field(default_factory=bytearray)
     lowest: bytes = b""
 
     def add(self, key: bytes, value: bytes) -> tuple | None:
@@ -123,8 +131,8 @@ class ShardBuilder:
             while shared < most and key[shared] == self.last[shared]:
                 shared += 1
         self.body += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
-        if not self.keys or key != self.keys[-1]:
-            self.keys.append(key)
+        if not self.count or key != self.last:
+            self.hashes += _hash(key)
         self.last, self.in_block, self.count = key, self.in_block + 1, self.count + 1
         return self._close_block() if len(self.body) >= self.block_bytes else None
 
@@ -149,14 +157,16 @@ class ShardBuilder:
         index = struct.pack("<I", len(self.index)) + b"".join(struct.pack("<IQI", len(k), o, n) + k for k, o, n in self.index)
         at, size = self.offset, len(index)
         yield self._section("index", 0, len(self.index), self.lowest, self.last, index)
-        bits = max(64, len(self.keys) * BITS_PER_KEY)
+        keys = len(self.hashes) // 16
+        bits = max(64, keys * BITS_PER_KEY)
         probes = max(1, round(BITS_PER_KEY * 0.69))
         array = np.zeros(-(-bits // 8), np.uint8)
-        hit = np.array([p for k in self.keys for p in _probes(k, probes, bits)], np.int64)
-        np.bitwise_or.at(array, hit >> 3, (1 << (hit & 7)).astype(np.uint8))
+        for first in range(0, len(self.hashes), 16 << 16):
+            hit = _probes(self.hashes[first : first + (16 << 16)], probes, bits).ravel()
+            np.bitwise_or.at(array, (hit >> np.uint64(3)).astype(np.int64), np.left_shift(1, hit & np.uint64(7), dtype=np.uint64).astype(np.uint8))
         bloom = struct.pack("<IQ", probes, bits) + array.tobytes()
         bloom_at = self.offset
-        yield self._section("bloom", 0, len(self.keys), self.lowest, self.last, bloom)
+        yield self._section("bloom", 0, keys, self.lowest, self.last, bloom)
         yield self._section("footer", 0, self.count, self.lowest, self.last, FOOTER.pack(at, size, bloom_at, len(bloom), self.count, MAGIC))
 
 
@@ -180,7 +190,7 @@ class ShardReader:
         self.bloom = data[bloom_at + 12 : bloom_at + bloom_size]
 
     def may_contain(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.probes, self.bits))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(_hash(key), self.probes, self.bits).ravel().tolist())
 
     def _block(self, i: int) -> tuple[bytes, list[int], int]:
         o, n = self.places[i]
@@ -239,6 +249,9 @@ class ShardReader:
 
 
 def _sorted_entries(docs: DataFrame, key: str, value: str) -> DataFrame:
+    if not isinstance(docs.schema[key].dataType, T.IntegralType | T.StringType | T.BinaryType):
+        raise TypeError(f"{key} can't be a key: it is {docs.schema[key].dataType.simpleString()}")
+    small_batches(docs.sparkSession)
     two = docs.select(F.col(key).alias("key"), F.col(value).alias("value")).where(F.col("key").isNotNull())
     return two.repartitionByRange("key").sortWithinPartitions("key", "value")
 
@@ -258,7 +271,7 @@ def build_shards(docs: DataFrame, key: str = "doc_id", value: str = "text", bloc
 
     Rows with a NULL key can't be looked up and are left out; a NULL value is stored as NULL, an empty text as empty.
     Repeated keys are all stored, next to each other and ordered by value, always in one shard; get_all() finds each. A text
-    longer than a block gets a block of its own. An empty table gives no rows. Other columns are ignored.
+    longer than a block gets a block of its own. Keys are whole numbers, strings or bytes (TypeError for others). An empty table gives no rows. Other columns are ignored.
     """
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -88,3 +88,22 @@ def test_files_and_token_ids(spark, tmp_path):
     readers = [sstable.ShardReader((tmp_path / "out" / m["file"]).read_bytes()) for m in manifest]
     get = lambda k: [sstable.decode_value(v, "ids") for r in readers for v in r.get_all(sstable.encode_key(k))]
     assert sorted(get("key7")) == [list(range(7)), list(range(57))] and get("none") == [None] and get("absent") == []
+
+
+def test_other_keys_are_refused(spark):
+    for key in (1.2, True, None):
+        with pytest.raises(TypeError):
+            sstable.encode_key(key)
+    with pytest.raises(TypeError):
+        sstable.build_shards(spark.createDataFrame([(1.2, "a"), (1.7, "b")], "doc_id double, text string"))
+
+
+def test_a_large_shard_keeps_16_bytes_a_key():
+    b = sstable.ShardBuilder(1 << 30)
+    for i in range(100_000):
+        b.add(sstable.encode_key(i), b"")
+    assert len(b.hashes) == 1_600_000
+    data = b"".join(r[-1] for r in b.finish())
+    reader = sstable.ShardReader(data)
+    assert all(reader.may_contain(sstable.encode_key(i)) for i in range(0, 100_000, 997))
+    assert sum(reader.may_contain(sstable.encode_key(i)) for i in range(200_000, 205_000)) < 150

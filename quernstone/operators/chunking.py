@@ -7,7 +7,7 @@ what is counted, numbered and named is native and looks at one row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,12 +100,12 @@ def _blocks(elements: Column) -> Column:
     return F.aggregate(elements, F.array().cast(f"array<{kind}>"), fold)
 
 
-def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, image_embeddings: DataFrame | None = None) -> DataFrame:
+def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP, image_embeddings: DataFrame | None = None, count: Callable[[Column], Column] = X.estimate_tokens) -> DataFrame:
     """Chunks of pages (PAGE, of which absent columns count as NULL): text windows, tables as Markdown, image descriptions.
 
     A page with ``elements`` gives texts and tables in their order; any other one its text with links, then its tables, all behind the
     line that names the slide or sheet. Texts of fewer than LEAST_TOKENS tokens are dropped before numbering, blank
-    tables after. ``ord`` is the place in the page. image_embeddings: (doc_id, img_id, embedding) to reuse; identifiers of images are made of file names, so two documents may have the same.
+    tables after. ``ord`` is the place in the page. image_embeddings: (doc_id, img_id, embedding) to reuse; identifiers of images are made of file names, so two documents may have the same. count: a chunk's token_cnt from its text, by default the estimate; a tokenizer's exact count is a pandas UDF here.
     """
     p = pages
     for field in PAGE.split(", ", 1)[1].split(", "):
@@ -138,7 +138,7 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP,
     out = p.select("doc_id", "base_name", "pg_num", F.posexplode(F.concat(body, images)).alias("ord", "c"))
     key = X.safe_key(F.concat("base_name", F.lit("__p"), F.col("pg_num").cast("string"), F.lit("_"), F.col("c.chunk_type"), F.lit("_"), F.col("c.chunk_idx").cast("string")))
     meta = F.struct(*[F.col(f"c.{n}") for n in ("total_txt_chunks_on_pg", "num_rows", "num_col", "img_id", "img_path")])
-    out = out.select("doc_id", key.alias("chunk_id"), F.col("c.chunk_type").alias("chunk_type"), "pg_num", F.col("c.chunk_idx").alias("chunk_idx"), F.col("c.content").alias("content"), X.estimate_tokens(F.col("c.content")).alias("token_cnt"), meta.alias("metadata"), "ord")
+    out = out.select("doc_id", key.alias("chunk_id"), F.col("c.chunk_type").alias("chunk_type"), "pg_num", F.col("c.chunk_idx").alias("chunk_idx"), F.col("c.content").alias("content"), count(F.col("c.content")).alias("token_cnt"), meta.alias("metadata"), "ord")
     if image_embeddings is None:
         return out.withColumn("embedding", F.lit(None).cast("array<float>"))
     known = image_embeddings.select(F.col("doc_id").alias("known_doc"), F.col("img_id").alias("known_id"), F.col("embedding").cast("array<float>").alias("embedding"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +83,27 @@ class Store:
     def _written(self, name: str) -> DataFrame | None:
         found = self.read(name + "_ids")
         return found if found is None else found.select(F.col("doc_id").alias("doc_name"), "id").distinct()
+
+
+def upload(docs: DataFrame, make: Callable[[], Callable[[list[dict]], list[bool] | None]], batch: int = 500) -> DataFrame:
+    """Send index documents to a search index and tell of each (id, status, error).
+
+    make: called once in each task, gives what sends a list of documents and says of each whether it was taken, or None for all. A batch that raises is 'failed' with its error. Lazy: one action
+    on the result sends everything once; a task that is run again sends its documents again, which an index keyed by id takes as the same.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        send = make()
+        for frame in frames:
+            rows = [json.loads(x) for x in frame["body"]]
+            for at in range(0, len(rows), batch):
+                part, error, taken = rows[at : at + batch], None, None
+                try:
+                    taken = send(part)
+                except Exception as e:  # the batch's failure is its documents'
+                    error, taken = f"{type(e).__name__}: {e}", [False] * len(part)
+                taken = [True] * len(part) if taken is None else taken
+                yield pd.DataFrame({"id": [r["id"] for r in part], "status": ["uploaded" if t else "failed" for t in taken], "error": error})
+
+    body = F.to_json(F.struct(*docs.columns)).alias("body")
+    return docs.select(body).mapInPandas(run, "id string, status string, error string")

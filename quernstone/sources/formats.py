@@ -250,8 +250,11 @@ def book(data: bytes, base: str, ext: str) -> Read:
 
 
 def image(data: bytes, base: str, ext: str) -> Read:
-    kind = {"jpg": "jpeg", "tif": "tiff"}.get(ext, ext)
-    return {"page_count": 1, "format": kind}, [page(1, None, "")], [{"image_id": f"{base}__p1_img0", "pg_num": 1, "img_idx": 0, "image_bytes": data, "ext": kind}]
+    """One page and picture; of a TIFF of several frames one of each for every frame. What a picture is its bytes say, whatever its name."""
+    kind = pixels.kind_of(data) or {"jpg": "jpeg", "tif": "tiff"}.get(ext, ext)
+    frames = (pixels.tiff_frames(data) if kind == "tiff" else []) or [data]
+    pictures = [{"image_id": f"{base}__p{n}_img0", "pg_num": n, "img_idx": 0, "image_bytes": f, "ext": kind} for n, f in enumerate(frames, 1)]
+    return {"page_count": len(frames), "format": kind}, [page(n, None if len(frames) == 1 else "page", "") for n in range(1, len(frames) + 1)], pictures
 
 
 def converted(*targets: str, seconds: int = 120) -> Reader:

@@ -68,8 +68,7 @@ class Archive:
 def picture(archive: Archive, name: str, page: int, number: int, base: str) -> dict | None:
     data = archive.zip.read(name) if name in archive.names else b""
     ext = posixpath.splitext(name)[1].lower().lstrip(".")
-    if ext == "bin" and pixels.kind_of(data) == "emf":
-        ext = "emf"
+    ext = pixels.kind_of(data) or ext  # names may be wrong
     if not data or ext not in PICTURES:
         return None
     return {"image_id": f"{base}__p{page}_img{number}", "pg_num": page, "img_idx": number, "image_bytes": data, "ext": {"jpg": "jpeg", "tif": "tiff"}.get(ext, ext)}

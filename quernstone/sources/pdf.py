@@ -1,6 +1,7 @@
-"""A limited PDF reader: uncompressed and Flate streams, simple encodings and ToUnicode maps.
+"""A limited PDF reader: uncompressed and Flate streams, simple encodings and ToUnicode maps, JPEG and plain pictures.
 
-Encrypted files and other filters are refused with ValueError. Tables aren't detected: a page is one text element.
+Encrypted files are refused with ValueError, and files of which no page's filters are known. Tables aren't detected: a page is one text element. A picture belongs to
+the first page that names it.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 import re
 import zlib
 
+from quernstone.sources import pixels
+
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _OPERAND = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]*|[-+]?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
@@ -154,19 +157,69 @@ class Document:
         return out
 
 
+    def number(self, body: bytes, key: bytes) -> int:
+        m = re.search(rb"/%s\s+(\d+)(?:\s+\d+\s+(R)\b)?" % key, body)
+        if m and m[2]:
+            m = re.match(rb"\s*(\d+)", self.objects.get(int(m[1]), b""))
+        return int(m[1]) if m else 0
+
+    def picture(self, body: bytes) -> tuple[str, bytes] | None:
+        """Type and bytes of an image object: JPEG and JPEG 2000 as they are, 8-bit grey and RGB pixels as PNG; None for any other."""
+        found = _STREAM.search(body)
+        if not found or not re.search(rb"/Subtype\s*/Image\b", body[: found.start()]):
+            return None
+        head = body[: found.start()]
+        filters = re.findall(rb"/(\w+Decode)\b", head)
+        if filters in ([b"DCTDecode"], [b"JPXDecode"]):
+            return ("jpeg" if filters[0] == b"DCTDecode" else "jpx"), found[1]
+        width, height = self.number(head, b"Width"), self.number(head, b"Height")
+        space = re.search(rb"/ColorSpace\s*(/\w+|\d+\s+\d+\s+R|\[[^\]]*\])", head)
+        name = space[1] if space else b""
+        if ref := re.match(rb"(\d+)\s+\d+\s+R", name):
+            name = self.objects.get(int(ref[1]), b"")
+        if icc := re.search(rb"/ICCBased\s+(\d+)\s+\d+\s+R", name):
+            channels = self.number(self.objects.get(int(icc[1]), b""), b"N")
+        else:
+            channels = 3 if b"RGB" in name else 1 if b"Gray" in name else 0
+        if filters not in ([], [b"FlateDecode"]) or self.number(head, b"BitsPerComponent") != 8 or channels not in (1, 3) or not width * height:
+            return None
+        if self.number(head, b"Predictor") >= 10:
+            return "png", pixels.png_of(found[1], width, height, channels)
+        raw, row = self.stream(body), width * channels
+        if len(raw) < row * height:
+            return None
+        lines = b"".join(b"\0" + raw[y * row : (y + 1) * row] for y in range(height))
+        return "png", pixels.png_of(zlib.compress(lines), width, height, channels)
+
+    def image_numbers(self, page: bytes) -> list[int]:
+        """The objects that a page's resources name as outside objects."""
+        resources = self.follow(page, b"Resources") or page
+        inside = self.follow(resources, b"XObject")
+        return [int(n) for n in re.findall(rb"/[^\s/<>\[\]]+\s+(\d+)\s+\d+\s+R", inside)]
+
+
 def read(data: bytes, base: str) -> tuple[dict, list[dict], list[dict]]:
     d = Document(data)
     pages = []
     unread, why = 0, None
+    pictures, seen, repeats = [], set(), 0
     for number, body in enumerate(d.pages(), 1):
         try:
             text = d.text(body)
         except ValueError as e:  # a filter that isn't supported costs this page only
             text, unread = "", unread + 1
             why = e
+        own = 0
+        for n in d.image_numbers(body):
+            if n in seen:
+                repeats += 1
+            elif (made := d.picture(d.objects.get(n, b""))) is not None:
+                pictures.append({"image_id": f"{base}__p{number}_img{own}", "pg_num": number, "img_idx": own, "image_bytes": made[1], "ext": made[0]})
+                own += 1
+            seen.add(n)
         elements = [{"type": "text", "content": text, "rows": None}] if text else []
         pages.append({"pg_num": number, "kind": "page", "title": "", "txt": text, "tables": [], "elements": elements, "hyperlinks": d.links(body)})
     if unread and unread == len(pages):
         raise why
     pages = pages or [{"pg_num": 1, "kind": "page", "title": "", "txt": "", "tables": [], "elements": [], "hyperlinks": []}]
-    return d.info() | {"page_count": len(pages), "table_count": 0} | ({"unread_pages": unread} if unread else {}), pages, []
+    return d.info() | {"page_count": len(pages), "table_count": 0} | ({"unread_pages": unread} if unread else {}) | ({"duplicate_images": repeats} if repeats else {}), pages, pictures

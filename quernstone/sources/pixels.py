@@ -63,6 +63,36 @@ def size_of(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+def tiff_frames(data: bytes) -> list[bytes]:
+    """A TIFF of each frame of a TIFF: the same bytes, of which the header points at that frame's directory and this at none after it. At most 65535 frames; one that is damaged ends them."""
+    order = "<" if data[:2] == b"II" else ">"
+    out: list[bytes] = []
+    seen: set[int] = set()
+    (at,) = struct.unpack(order + "I", data[4:8]) if len(data) > 7 else (0,)
+    while at and at not in seen and at + 2 <= len(data) and len(out) < 65535:
+        seen.add(at)
+        (n,) = struct.unpack(order + "H", data[at : at + 2])
+        end = at + 2 + 12 * n
+        if end + 4 > len(data):
+            break
+        one = bytearray(data)
+        one[4:8] = struct.pack(order + "I", at)
+        one[end : end + 4] = b"\0" * 4
+        out.append(bytes(one))
+        (at,) = struct.unpack(order + "I", data[end : end + 4])
+    return out
+
+
+def png_of(scanlines: bytes, width: int, height: int, channels: int) -> bytes:
+    """A PNG of 8-bit grey (1 channel) or RGB (3) pixels; scanlines: compressed, each behind its filter's number."""
+
+    def chunk(name: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", scanlines) + chunk(b"IEND", b"")
+
+
 def png_pixels(data: bytes) -> np.ndarray | None:
     """(height, width, 3) of a PNG with 8 bits a channel that isn't interlaced."""
     at, body, palette, header = 8, b"", None, None

@@ -124,7 +124,7 @@ def pages(spark, **page):
 
 def test_a_page_with_text_table_and_image(spark):
     image = ("i0", 0, "p.png", "", "a cap", "")
-    out = chunking.chunk_pages(pages(spark, txt="Some words to keep here.", tables=[[[None]], [["h"], ["v"]]], imgs=[image, ("i1", 3, "q", "", "", "")], kind="slide", title="T", hyperlinks=["http://x"]), image_embeddings=spark.createDataFrame([("i0", [0.5])], "img_id string, embedding array<float>")).orderBy("ord").collect()
+    out = chunking.chunk_pages(pages(spark, txt="Some words to keep here.", tables=[[[None]], [["h"], ["v"]]], imgs=[image, ("i1", 3, "q", "", "", "")], kind="slide", title="T", hyperlinks=["http://x"]), image_embeddings=spark.createDataFrame([("d", "i0", [0.5]), ("other", "i0", [0.7])], "doc_id string, img_id string, embedding array<float>")).orderBy("ord").collect()
     assert [r["chunk_id"] for r in out] == ["doc__p1_text_0", "doc__p1_table_1", "doc__p1_image_0", "doc__p1_image_3"]
     assert out[0]["content"] == "Slide: T\n\nSome words to keep here. Links: http://x" and out[0]["metadata"]["total_txt_chunks_on_pg"] == 1
     assert out[1]["content"].startswith("Slide: T\n\n| h |") and (out[1]["metadata"]["num_rows"], out[1]["metadata"]["num_col"]) == (2, 1)

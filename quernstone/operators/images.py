@@ -28,7 +28,9 @@ def filter_reason(width: Column, height: Column, decoded: Column, logo_distance:
 
 
 def filter_stats(images: DataFrame) -> DataFrame:
-    """(doc_id, filter_reason, images): how many images of a document each stage decided on."""
+    """(doc_id, filter_reason, images): how many images of a document each stage decided on; where there is a column ``duplicate``, those it is true for count as that."""
+    if "duplicate" in images.columns:
+        images = images.withColumn("filter_reason", F.when(F.col("duplicate"), "duplicate").otherwise(F.col("filter_reason")))
     return images.groupBy("doc_id", "filter_reason").agg(F.count(F.lit(1)).alias("images"))
 
 

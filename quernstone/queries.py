@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
 from quernstone.operators import chunking, images, runs
+from quernstone.sinks import json_line
 
 STAMP = "2024-01-01T00:00:00Z"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,3 +357,28 @@ def images_on_pages(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 4).alias("pg_num"), F.col("l_linenumber").cast("int").alias("img_idx"), *[F.lit("").alias(c) for c in ("image_id", "img_path", "ocr_text", "caption", "description")])
     on = images.attach_to_pages(pages, rows)
     return on.select("doc_id", "pg_num", F.coalesce(F.transform("imgs", lambda m: m["img_idx"]), F.array().cast("array<int>")).alias("images"))
+
+
+@query("""SELECT doc_id, CASE WHEN duplicate THEN 'duplicate' WHEN big THEN 'kept' ELSE 'dimension' END AS filter_reason, count(*) AS images
+ FROM (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber * 1000 + l_quantity::BIGINT) > 1 AS duplicate, l_quantity >= 10 AS big FROM lineitem) GROUP BY ALL""")
+def duplicate_stats(spark, sf_dir):
+    media = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("key"), F.lit(1).alias("pg_num"), (F.col("l_linenumber") * 1000 + F.col("l_quantity").cast("long")).alias("pos"), F.when(F.col("l_quantity") >= 10, "kept").otherwise("dimension").alias("filter_reason"))
+    return images.filter_stats(images.drop_repeats(media))
+
+
+@query("""SELECT s_suppkey, '{"id":"' || s_suppkey || '"' || CASE WHEN s_acctbal > 0 THEN ',"content":"' || s_name || '\\n\\"é\\""' ELSE '' END || ',"page":' || s_nationkey || ',"content_vector":' || CASE WHEN s_suppkey % 2 = 0 THEN '[0.5,' || s_nationkey || '.0]' ELSE 'null' END || '}' AS line FROM supplier""")
+def json_lines(spark, sf_dir):
+    """Index documents as JSON lines, NULLs left out but the vector's."""
+    s = _read(spark, sf_dir, "supplier")
+    vector = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit(0.5).cast("float"), F.col("s_nationkey").cast("float")))
+    docs = s.select("s_suppkey", F.col("s_suppkey").cast("string").alias("id"), vector.alias("content_vector"), F.when(F.col("s_acctbal") > 0, F.concat("s_name", F.lit('\n"é"'))).alias("content"), F.col("s_nationkey").alias("page"))
+    return docs.select("s_suppkey", json_line(["id", "content_vector", "content", "page"]).alias("line"))
+
+
+@query("""SELECT 'd' || n_regionkey AS doc_id, 'd' || n_regionkey || '__p1_table_0' AS chunk_id, 'Slide: Nations' || chr(10) || chr(10) || '| key | name | note |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' \\| ' || n_regionkey || ' |  |', chr(10) ORDER BY n_nationkey) AS content,
+ (count(*) + 1)::INT AS num_rows, 3 AS num_col FROM nation GROUP BY n_regionkey""")
+def slide_tables(spark, sf_dir):
+    """Tables of slides, behind the line that names the slide."""
+    doc = F.concat(F.lit("d"), F.col("n_regionkey").cast("string"))
+    pages = _region_tables(spark, sf_dir).select(doc.alias("doc_id"), doc.alias("base_name"), F.lit(1).alias("pg_num"), F.lit("slide").alias("kind"), F.lit("Nations").alias("title"), F.array("t", F.array(F.array(F.lit(" ")))).alias("tables"))
+    return chunking.chunk_pages(pages).select("doc_id", "chunk_id", "content", "metadata.num_rows", "metadata.num_col")

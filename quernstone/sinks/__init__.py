@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -19,6 +19,15 @@ PARTS = ("images", "chunks", "documents")
 SHARDS = 64
 
 
+def json_line(columns: list[str], vector: str = "content_vector") -> Column:
+    """A row as JSON: fields that are NULL are left out, but for ``vector``, which comes last."""
+    line = F.to_json(F.struct(*[F.col(c) for c in columns if c != vector]))
+    if vector not in columns:
+        return line
+    last = F.concat(F.lit(f',"{vector}":'), F.coalesce(F.to_json(F.col(vector)), F.lit("null")), F.lit("}"))
+    return F.concat(F.substring(line, F.lit(1), F.length(line) - 1), last)
+
+
 class Store:
     """Tables below ``root``, a partition for each run. ``documents`` is written last: a document counts as done once it is there, so a run that broke off is taken up again."""
 
@@ -53,12 +62,7 @@ class Store:
     def write_json(self, name: str, docs: DataFrame) -> None:
         """Index documents as JSON lines in SHARDS folders by a hash of the document, and their identifiers as a table, so that what is there is known without reading the
         lines; content_vector stays where it is NULL, other kinds' fields don't."""
-        vector = "content_vector"
-        own = [F.col(c) for c in docs.columns if c != vector]
-        line = F.to_json(F.struct(*own))
-        if vector in docs.columns:
-            vec = F.concat(F.lit(f',"{vector}":'), F.coalesce(F.to_json(F.col(vector)), F.lit("null")), F.lit("}"))
-            line = F.concat(F.substring(line, F.lit(1), F.length(line) - 1), vec)
+        line = json_line(docs.columns)
         shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")
         docs.select(shard.alias("shard"), line.alias("value")).write.mode("append").partitionBy("shard").text(self.path(name))
         docs.select("doc_id", "id").write.mode("append").parquet(self.path(name + "_ids"))

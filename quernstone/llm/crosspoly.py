@@ -99,7 +99,7 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
             yield pd.Series(found)
 
     heads = materialise(rows.groupBy("v").agg(F.min("unit").alias("unit")).withColumn("keys", hashed("unit")))
-    sent = meetings(heads.select("v", F.explode(F.array_distinct("keys")).alias("key"), F.lit(1).alias("size"), F.lit(0).cast("long").alias("sample")), TILE).join(heads, "v")
+    sent = meetings(heads.select("v", F.explode(F.array_distinct("keys")).alias("key"), F.lit(1 << 48).alias("mark")), TILE).join(heads, "v")
 
     @lean
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -141,6 +141,7 @@ class Codec:
         self.ids = np.array(self.id_of, "<i4")
         self.unpieced = [("" if i in special else p.replace(SPACE, " ")) for i, p in enumerate(self.pieces)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.surface, self.is_byte = np.array(self.unpieced, object), np.isin(np.arange(size), self.byte_ids)
         crossing = any(a != SPACE and b == SPACE for p in self.rank for a, b in zip(p, p[1:], strict=False))
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.rank if len(p) > 1))
         inner = f"[^{SPACE}{alone}]+"
@@ -259,6 +260,13 @@ class Codec:
         """Drop the segments held."""
         self.new, self.old = {}, {}
 
+    def decode_array(self, ids: np.ndarray) -> str:
+        """decode() of an array."""
+        if self.is_byte.take(ids).any():
+            return self.decode(ids.tolist())
+        joined = "".join(self.surface.take(ids).tolist())
+        return joined[1:] if joined[:1] == " " else joined
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; runs of byte pieces are decoded together, what isn't UTF-8 becoming U+FFFD, and the space in front goes."""
         joined = "".join(map(self.unpieced.__getitem__, ids))
@@ -328,7 +336,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text:
                 values = np.frombuffer(b"".join(b or b"" for b in blobs), "<i4")
                 offsets = np.zeros(len(blobs) + 1, np.int32)
                 np.cumsum(sizes, out=offsets[1:])
-                trip = [None if t is None else c.decode(np.frombuffer(b, "<i4").tolist()) == t for t, b in zip(texts, blobs, strict=True)]
+                trip = [None if t is None else c.decode_array(np.frombuffer(b, "<i4")) == t for t, b in zip(texts, blobs, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes, pa.int32(), mask=none), pa.array(trip, pa.bool_()), pa.array(agree, pa.bool_())], names=schema.names)
         c.forget()

@@ -40,7 +40,7 @@ def test_agenda_equals_brute_force_and_the_library(library):
     for t, b, ok in zip(all_, blobs, agree, strict=True):
         ids = np.frombuffer(b, "<i4").tolist()
         assert ids == brute(codec, t) == library.encode(t) and ok
-        assert codec.decode(ids) == t == library.decode(ids)
+        assert codec.decode(ids) == codec.decode_array(np.array(ids, np.int32)) == t == library.decode(ids)
 
 
 def test_rows_in_spark(spark, odd_docs, clashing_docs, no_docs, odd_rows, library):

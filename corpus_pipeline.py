@@ -53,13 +53,22 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; what one returns is written to the shared checkpoint folder and read again for the next."""
+    """The stages over ``documents``; what one returns is written to the shared checkpoint folder and read again for the next, and deleted once that is written; the last one's input stays, as
+    the result is read from it."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES[:-1]):
         at = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            _delete(spark, before)
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)

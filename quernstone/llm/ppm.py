@@ -29,7 +29,7 @@ LEAST = 3
 SAMPLE_PER_LANGUAGE = 200
 #: Bits a byte in the best language, above which a document is in none of them.
 REJECT_ABOVE = 6.0
-BATCH_BYTES = 1 << 18
+BATCH_BYTES = 1 << 16
 #: Costs are kept as whole numbers of 1 / UNITS bits.
 UNITS = 1024
 #: Contexts tabulated at once, which bounds what the driver needs beside the tables themselves.
@@ -39,8 +39,8 @@ RESULT = "lang string, bits_per_byte double, margin double, accepted boolean"
 
 @dataclass
 class Model:
-    """classes: byte -> class (1 and more; the last is for bytes that no sample had; 0 stands for what precedes a text). child: (state, class) -> state one byte longer, the last
-    state meaning none. cost: (state, class, language) -> bits in UNITS."""
+    """classes: byte -> class (1 and more; the last is for bytes that no sample had; 0 stands for what precedes a text). child: (state shorter than order, class) -> state one byte longer, the last
+    state meaning none; its last row stands for all other states. cost: (state, class, language) -> bits in UNITS."""
 
     languages: list[str]
     classes: np.ndarray
@@ -52,7 +52,8 @@ class Model:
         """(text, language) code lengths in bits; 0 for an empty text."""
         total = np.zeros((len(texts), len(self.languages)))
         width = self.child.shape[1]
-        flat, costs, none = self.child.ravel(), self.cost.reshape(-1, len(self.languages)), self.child.shape[0] - 1
+        flat, costs, none = self.child.ravel(), self.cost.reshape(-1, len(self.languages)), self.cost.shape[0] - 1
+        other = self.child.shape[0] - 1
         for first, last in byte_batches(texts, BATCH_BYTES):
             data, offsets = joined(texts[first:last])
             if not len(data):
@@ -63,10 +64,10 @@ class Model:
             symbols = np.zeros(len(data) + self.order * (last - first), np.int32)
             own = self.classes[data]
             symbols[at] = own
-            node = flat[symbols[at - 1]]
+            node = flat[symbols[at - 1]] if self.order else np.zeros(len(data), np.int32)
             state = np.where(node != none, node, 0)
             for k in range(2, self.order + 1):
-                node = flat[node * width + symbols[at - k]]
+                node = flat[np.minimum(node, other) * width + symbols[at - k]]
                 state = np.where(node != none, node, state)
             rows = costs[state * width + own]
             full = np.flatnonzero(np.diff(offsets))
@@ -115,7 +116,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST)
         kept.append(found[np.isin(found % width ** (n - 1), kept[n - 1])])
     base = np.cumsum([0] + [len(x) for x in kept])
     none = int(base[-1])
-    child = np.full((none + 1, width), none, np.int32)
+    child = np.full((int(base[order]) + 1, width), none, np.int32)
     suffix = np.zeros(none, np.int64)
     for n in range(1, order + 1):
         up = base[n - 1] + np.searchsorted(kept[n - 1], kept[n] % width ** (n - 1))

@@ -190,3 +190,46 @@ def test_keys_of_many_members_stream_by(monkeypatch):
             for g, v in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
                 groups[g].add(v)
         assert {frozenset(g) for g in groups.values()} == {frozenset(m) for m in by_key.values() if len(m) > 1}
+
+
+def spread_prints(rng, n, bits):
+    """n rows, and n that differ from them in so many bits that lie as evenly over the segments as can be."""
+    one = rng.integers(0, 256, (n, simhash.BITS // 8), dtype=np.uint8)
+    flips = np.zeros((n, simhash.BITS), np.uint8)
+    for row in flips:
+        for k, segment in enumerate(rng.permutation(simhash.SEGMENTS)):
+            row[segment * simhash.SEGMENT_BITS + rng.choice(simhash.SEGMENT_BITS, bits // simhash.SEGMENTS + (k < bits % simhash.SEGMENTS), replace=False)] = 1
+    return np.concatenate([one, one ^ np.packbits(flips, axis=1)])
+
+
+def test_pairs_at_the_threshold_without_a_key_and_of_sizes_far_apart(spark, monkeypatch):
+    rows = spread_prints(np.random.default_rng(3), 40, simhash.THRESHOLD)
+    a, b = simhash.keys(rows[:40]), simhash.keys(rows[40:])
+    assert not (a == b).any(axis=1).all()
+    texts = {f"t{k}": (rows[k].tobytes(), 9 if k < 40 else 90) for k in range(80)}
+    monkeypatch.setattr(simhash, "_fingerprint_udf", lambda: simhash.F.udf(lambda t: texts[t], "print binary, words int"))
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(80)], "doc_id long, text string")
+    for tile, start in ((2048, 2), (10, 2), (2048, 0)):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "FROM", start)
+        assert sorted(tuple(r) for r in simhash.near_duplicate_groups(docs).collect()) == [(40 + k, k, simhash.THRESHOLD) for k in range(40)]
+
+
+def test_the_index_links_what_products_link():
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([spread_prints(rng, 50, bits) for bits in (1, 90, 143, 144, 145)])
+    rows[3] = rows[4] ^ 1
+    rows = np.concatenate([rows, np.repeat(rows[:1], 30, axis=0)])
+    rows[-29:, 7] ^= np.arange(29, dtype=np.uint8)
+    rows = rows.view(np.uint64)[rng.permutation(len(rows))]
+    for threshold in (20, simhash.THRESHOLD):
+        alone = np.zeros(len(rows), int)
+        assert simhash.indexed_components(rows, alone, threshold).tolist() == simhash.tile_components(rows, alone, threshold).tolist()
+    sides = np.repeat([0, 1], len(rows) // 2)
+    linked = simhash.indexed_components(rows, sides, simhash.THRESHOLD)
+    near = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2) <= simhash.THRESHOLD
+    i, j = np.nonzero(near & (sides[:, None] < sides))
+    assert len(i) > 50 and (linked[i] == linked[j]).all()
+    i = np.arange(len(rows))
+    assert (simhash.tile_components(rows, alone, simhash.THRESHOLD)[i] == simhash.tile_components(rows, alone, simhash.THRESHOLD)[linked]).all()
+    assert sum(r + 1 for r in simhash.radii(simhash.THRESHOLD)) == simhash.THRESHOLD + 1

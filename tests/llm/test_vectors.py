@@ -206,3 +206,30 @@ def test_odd_vectors_in_search(spark):
     assert rows_of(nndescent.nearest_neighbours(clash, 3, every=1)) == rows_of(out)
     assert nndescent.nearest_neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     assert nndescent.nearest_neighbours(spark.createDataFrame(ODD[:1], SCHEMA)).count() == 0
+
+
+def test_cells_find_the_neighbours_of_all_pairs(spark, monkeypatch):
+    x, vectors = cluster(spark, 2000)
+    monkeypatch.setattr(nndescent, "EXACT", 100)
+    monkeypatch.setattr(nndescent, "CELLS", 32)
+    monkeypatch.setattr(nndescent, "PART", 50)
+    monkeypatch.setattr(nndescent, "AMONG", 16)
+    for name in ("build_graph", "search"):  # no graph of all rows is built for a twentieth of them
+        monkeypatch.setattr(nndescent, name, None)
+    cosine = unit(x) @ unit(x).T
+    np.fill_diagonal(cosine, -2)
+    floor = -np.sort(-cosine, axis=1)[:, 9]
+    out = nndescent.nearest_neighbours(vectors).collect()
+    assert len(out) == 1000 and {r["vec_id"] for r in out} == set(range(0, 2000, 20)) and all(r["vec_id"] != r["neighbour_id"] for r in out)
+    assert sum(cosine[r["vec_id"], r["neighbour_id"]] >= floor[r["vec_id"]] - 1e-9 for r in out) >= 0.9 * len(out)
+
+
+def test_best_of_equals_sorting(monkeypatch):
+    monkeypatch.setattr(nndescent, "AMONG", 37)
+    monkeypatch.setattr(nndescent, "ASKED", 7)
+    x = unit(np.random.default_rng(2).standard_normal((300, 8))).astype(np.float32)
+    asks = np.arange(0, 300, 20)
+    row, at, _ = nndescent.best_of(asks, x[asks], np.arange(300), x, 5)
+    far = 1 - x[asks] @ x.T
+    far[np.arange(len(asks)), asks] = np.inf
+    assert at.reshape(-1, 5).tolist() == np.argsort(far, axis=1, kind="stable")[:, :5].tolist() and row.tolist() == np.repeat(np.arange(len(asks)), 5).tolist()

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import sentencepiece
 from tests.llm.conftest import DOCS, CLASHES, rows_of, sentence
@@ -93,3 +94,17 @@ def test_every_operator_has_one_query():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(names) == set(queries.QUERIES)
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_near_dedup_stage_has_no_cut_by_size_or_sample(spark, sf, monkeypatch):
+    """Pairs within the threshold whose sizes are 10 to 1 apart, and such that differ in 24 of any key's 48 sampled bits."""
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 256, (20, simhash.BITS // 8), dtype=np.uint8)
+    other = one.copy()
+    other[:10, 7] ^= 1
+    other[10:, np.arange(6) * 20 + np.arange(6) % simhash.BLOCKS] ^= 15
+    prints = {f"t{k}": (p.tobytes(), 9 if k < 20 or k >= 30 else 90) for k, p in enumerate(np.concatenate([one, other]))}
+    monkeypatch.setattr(simhash, "_fingerprint_udf", lambda: simhash.F.udf(lambda t: prints[t], "print binary, words int"))
+    docs = spark.createDataFrame([(k, f"t{k}", "en", "s", 2) for k in range(40)], DOCS)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))

@@ -142,6 +142,7 @@ class Codec:
         self.unpieced = [("" if i in special else p.replace(SPACE, " ")) for i, p in enumerate(self.pieces)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.surface, self.is_byte = np.array(self.unpieced, object), np.isin(np.arange(size), self.byte_ids)
+        self.raw = pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.unpieced)], pa.large_binary())
         crossing = any(a != SPACE and b == SPACE for p in self.rank for a, b in zip(p, p[1:], strict=False))
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.rank if len(p) > 1))
         inner = f"[^{SPACE}{alone}]+"
@@ -239,7 +240,7 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> tuple[list[bytes | None], list[bool | None]]:
         """Of each text its ids as little-endian int32, and whether the library gives the same ids for the whole text; None for None."""
         parts = [None if t is None else self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {s for p in parts if p for s in p if s not in self.new}
+        fresh = {s for s in set().union(*filter(None, parts)) if s not in self.new}
         held, wanted = {}, []
         for s in fresh:
             if (v := self.old.get(s)) is None:
@@ -247,19 +248,38 @@ class Codec:
             else:
                 held[s] = v
         held.update((s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in zip(wanted, self.merge_all(wanted), strict=True))
-        if len(self.new) + len(held) > HELD:
+        if turned := len(self.new) + len(held) > HELD:
             self.old, self.new = self.new, {}
         if len(held) <= HELD:
             self.new.update(held)
-        table = _Found(held, self.new, self.old)
+        # unless the halves were exchanged, the newer one holds all segments of the batch
+        table = _Found(held, self.new, self.old) if turned else self.new
         out = [None if p is None else b"".join(map(table.__getitem__, p)) for p in parts]
         theirs = iter(self.library.encode([t for t in texts if t is not None], num_threads=1))
-        return out, [None if b is None else b == np.array(next(theirs), "<i4").tobytes() for b in out]
+        return out, [None if b is None else len(b) == 4 * len(ids := next(theirs)) and b == struct.pack(f"<{len(ids)}i", *ids) for b in out]
 
     def forget(self) -> None:
         """Drop the segments held."""
         self.new, self.old = {}, {}
 
+    def round_trips(self, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> list[bool | None]:
+        """Whether decoding the ids that encode_batch() gives for each text, here after each other, gives the text back; None for None. The bytes of all pieces are put
+        together at once; a text is decoded alone only where they aren't its own, since what isn't UTF-8 becomes U+FFFD."""
+        found = self.raw.take(pa.array(ids, pa.int32()))
+        _, places, data = found.buffers()
+        ends = np.frombuffer(places, np.int64)[offsets].tolist()
+        joined = data.to_pybytes() if data else b""
+        out: list[bool | None] = []
+        for k, t in enumerate(texts):
+            if t is None:
+                out.append(None)
+                continue
+            own = t.encode("utf-8", "surrogatepass")
+            begin = ends[k] + joined.startswith(b" ", ends[k], ends[k + 1])
+            same = ends[k + 1] - begin == len(own) and joined.startswith(own, begin)
+            out.append(same or self.decode_array(ids[offsets[k] : offsets[k + 1]]) == t)
+        return out
+
     def decode_array(self, ids: np.ndarray) -> str:
         """decode() of an array."""
         if self.is_byte.take(ids).any():
@@ -336,7 +356,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text:
                 values = np.frombuffer(b"".join(b or b"" for b in blobs), "<i4")
                 offsets = np.zeros(len(blobs) + 1, np.int32)
                 np.cumsum(sizes, out=offsets[1:])
-                trip = [None if t is None else c.decode_array(np.frombuffer(b, "<i4")) == t for t, b in zip(texts, blobs, strict=True)]
+                trip = c.round_trips(texts, values, offsets)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes, pa.int32(), mask=none), pa.array(trip, pa.bool_()), pa.array(agree, pa.bool_())], names=schema.names)
         c.forget()

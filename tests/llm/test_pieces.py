@@ -62,6 +62,35 @@ def test_decoding_column(spark, odd_docs):
     assert {r["n"]: r["t"] is None for r in wrong} == {1: True, 2: True, 3: True, 4: True, 5: False}
 
 
+def test_round_trips_decode_only_texts_that_differ(monkeypatch):
+    import numpy as np
+
+    codec = pieces.Codec()
+
+    def check(all_, blobs, want):
+        offsets = np.r_[0, np.cumsum([len(b or b"") // 4 for b in blobs])].astype(np.int32)
+        assert codec.round_trips(all_, np.frombuffer(b"".join(b or b"" for b in blobs), "<i4"), offsets) == want
+
+    odd = ["\u2581", "a \u2581b", "\ufffd", None, "", "\ud800", " \u2581 "]
+    blobs = codec.encode_batch([t for t in odd if t != "\ud800"])[0]
+    blobs.insert(odd.index("\ud800"), codec.encode_batch(["?"])[0][0])
+    check(odd, blobs, [None if t is None else codec.decode_array(np.frombuffer(b, "<i4")) == t for t, b in zip(odd, blobs, strict=True)])
+    good = ["one text", None, "", "other words", "ünïcödé \U0001f600"]
+    blobs = codec.encode_batch(good)[0]
+    blobs[0], blobs[3] = blobs[3], blobs[0]
+    check(good, blobs, [False, None, True, False, True])
+    byte = np.array([codec.byte_ids[b] for b in b"\xff"], "<i4").tobytes()
+    check(["\ufffd", "\ufffdx"], [byte, byte], [True, False])
+    check([None, None], [None, None], [None, None])
+
+    def alone(self, ids):
+        raise AssertionError("a text that comes back was decoded alone")
+
+    monkeypatch.setattr(pieces.Codec, "decode_array", alone)
+    all_ = texts()
+    check(all_, codec.encode_batch(all_)[0], [True] * len(all_))
+
+
 def test_a_wrong_split_is_noticed():
     codec = pieces.Codec()
     codec.split = lambda t: [t[:7], t[7:]]

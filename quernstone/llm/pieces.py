@@ -6,19 +6,19 @@ piece become byte pieces.
 
 A merge can't cross two neighbouring characters that stand next to each other in no piece. The vocabulary's own adjacent
 pairs therefore say where a text falls apart into segments that are encoded independently; each Arrow batch encodes only
-segments the worker doesn't hold yet. The sentencepiece library encodes the whole texts of each batch too, and the ids of each document are compared.
+segments the worker doesn't hold yet. Texts are cut, and segments looked up and put together, as Arrow arrays. The sentencepiece library encodes the whole texts of each batch too, and the ids of each document are compared.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from quernstone.llm.common import lean
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments kept during a task; the older half goes when the newer is full.
-HELD = 100_000
+HELD = 300_000
 #: Lengths of the segments that are merged side by side; longer ones are merged alone.
 LANES = ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 40), (40, 64))
 NONE = np.int32(2**31 - 1)
@@ -146,9 +146,10 @@ class Codec:
         crossing = any(a != SPACE and b == SPACE for p in self.rank for a, b in zip(p, p[1:], strict=False))
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.rank if len(p) > 1))
         inner = f"[^{SPACE}{alone}]+"
-        self.split = (lambda t: [t]) if crossing else re.compile(f"{SPACE}*{inner}|{SPACE}+" + (f"|[{alone}]" if alone else "")).findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: The rule in which cut() cuts texts, for one text; another that is put here is followed instead.
+        self.split = self.rule = (lambda t: [t]) if crossing else re.compile(f"{SPACE}*{inner}|{SPACE}+" + (f"|[{alone}]" if alone else "")).findall
+        self.crossing, self.alone = crossing, alone.encode()
+        self.forget()
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text in which spaces are already replaced. Symbols are the places of their pieces in the order of merging, -1 for what is no piece."""
@@ -193,18 +194,29 @@ class Codec:
         return ids
 
     def merge_all(self, segments: list[str]) -> list[list[int]]:
-        """merge() of each segment. Those of up to 64 characters pop their agendas together: a lane's agenda is a row with the place in order of each
-        neighbouring pair's union, of which every lane takes the least, the leftmost of equals, in one step."""
-        out: list[list[int] | None] = [None] * len(segments)
-        size = np.array([len(x) for x in segments], np.int64)
+        """merge() of each segment."""
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, ends = self.merge_codes(codes, np.cumsum([0, *map(len, segments)]))
+        return [x.tolist() for x in np.split(ids, ends[1:-1])] if segments else []
+
+    def merge_codes(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of segments of characters after each other: ids after each other, and their offsets. Segments of up to 64 characters pop their agendas together: a lane's
+        agenda is a row with the place in order of each neighbouring pair's union, of which every lane takes the least, the leftmost of equals, in one step."""
+        size = np.diff(offsets)
+        symbols = self.symbol[codes]
+        counts = np.zeros(len(size), np.int64)
+        owners, found = [], []
+        alone = size > LANES[-1][1]
         for low, high in LANES:
             own = np.flatnonzero((size > low) & (size <= high))
             if not len(own):
                 continue
-            codes = np.frombuffer("".join([segments[i] for i in own]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            rows = np.full((len(own), high + 1), -2, np.int32)
-            rows[np.arange(high + 1) < size[own][:, None]] = self.symbol[codes]
+            width = int(size[own].max()) + 1
+            inside = np.arange(width) < size[own][:, None]
+            rows = np.full((len(own), width), -2, np.int32)
+            rows[inside] = symbols[(offsets[own][:, None] + np.arange(width))[inside]]
             known = (rows != -1).all(axis=1)
+            alone[own[~known]] = True
             own, rows = own[known], rows[known]
             if not len(own):
                 continue
@@ -218,12 +230,9 @@ class Codec:
                 if (ended := union == NONE).any():
                     done = rows[ended]
                     used = done >= 0
-                    flat = self.ids[done[used]].tolist()
-                    ends = np.cumsum(used.sum(axis=1)).tolist()
-                    begin = 0
-                    for i, end in zip(own[ended].tolist(), ends, strict=True):
-                        out[i] = flat[begin:end]
-                        begin = end
+                    owners.append(own[ended])
+                    found.append(self.ids[done[used]])
+                    counts[owners[-1]] = used.sum(axis=1)
                     own, rows, agenda, at, union = own[~ended], rows[~ended], agenda[~ended], at[~ended], union[~ended]
                     if not len(own):
                         break
@@ -235,32 +244,93 @@ class Codec:
                 agenda[lane, at] = np.where(at < last, self.table.find(union, rows[lane, np.minimum(at + 1, last)]), NONE)
                 inner = np.flatnonzero(at)
                 agenda[inner, at[inner] - 1] = self.table.find(rows[inner, at[inner] - 1], union[inner])
-        return [self.merge(x) if ids is None else ids for x, ids in zip(segments, out, strict=True)]
+        for i in np.flatnonzero(alone):
+            ids = self.merge(codes[offsets[i] : offsets[i + 1]].tobytes().decode("utf-32-le", "surrogatepass"))
+            owners.append([i])
+            found.append(np.array(ids, "<i4"))
+            counts[i] = len(ids)
+        ends = np.r_[0, np.cumsum(counts)]
+        flat = np.empty(ends[-1], "<i4")
+        if owners:
+            order = np.concatenate(owners)
+            many = counts[order]
+            flat[np.repeat(ends[order] - (np.cumsum(many) - many), many) + np.arange(len(flat))] = np.concatenate(found)
+        return flat, ends
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all texts after each other, as bytes in which spaces stand for themselves, and the number of the first of each text, with the end. None and '' have none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if self.split is not self.rule:
+            parts = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts.to_pylist()]
+            return pa.array([s.replace(SPACE, " ").encode() for p in parts for s in p], pa.large_binary()), np.cumsum([0, *map(len, parts)])
+        own = pc.replace_substring(texts, SPACE, " ")
+        own = pc.binary_join_element_wise(pc.if_else(pc.equal(own, ""), pa.scalar("", own.type), pa.scalar(" ", own.type)), own, pa.scalar("", own.type))
+        ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int64)
+        if ends[-1] == ends[0]:
+            return pa.array([], pa.large_binary()), np.zeros(len(own) + 1, np.int64)
+        data = np.frombuffer(own.buffers()[2], np.uint8)[: ends[-1]]
+        begins = np.zeros(len(data), bool)
+        if not self.crossing:
+            space = data == ord(" ")
+            begins[1:] = space[1:] & ~space[:-1]
+            for c in self.alone:
+                one = data == c
+                begins |= one
+                begins[1:] |= one[:-1]
+        begins[ends[:-1][ends[:-1] < ends[1:]]] = True
+        places = np.append(np.flatnonzero(begins), ends[-1])
+        return pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), own.buffers()[2]]), np.searchsorted(places, ends)
+
+    def merge_bytes(self, segments: pa.Array) -> pa.Array:
+        """merge() of segments as cut() gives them, as little-endian int32."""
+        if not len(segments):
+            return pa.array([], pa.large_binary())
+        places = np.frombuffer(segments.buffers()[1], np.int64)[segments.offset : segments.offset + len(segments) + 1]
+        data = segments.buffers()[2].to_pybytes()[places[0] : places[-1]]
+        codes = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        codes = np.where(codes == ord(" "), np.uint32(ord(SPACE)), codes)
+        characters = np.append(0, np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80))
+        ids, ends = self.merge_codes(codes, characters[places - places[0]])
+        return pa.Array.from_buffers(pa.large_binary(), len(segments), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)])
+
+    def ids_of(self, segments: pa.Array) -> pa.Array:
+        """merge_bytes() of different segments, which are then held; those held are looked up."""
+        (new, new_ids), (old, old_ids) = self.new, self.old
+        at = pc.index_in(segments, value_set=new).fill_null(-1).to_numpy().astype(np.int64)
+        absent = at < 0
+        fresh = segments.filter(pa.array(absent))
+        in_old = pc.index_in(fresh, value_set=old).fill_null(-1).to_numpy()
+        wanted = in_old < 0
+        at[absent] = len(new) + np.where(wanted, len(old) + np.cumsum(wanted) - 1, in_old)
+        ids = pa.concat_arrays([new_ids, old_ids, self.merge_bytes(fresh.filter(pa.array(wanted)))]).take(pa.array(at))
+        if len(fresh):
+            if len(new) + len(fresh) > HELD:
+                self.forget()
+                self.old = (new, new_ids)
+            if len(fresh) <= HELD:
+                self.new = (pa.concat_arrays([self.new[0], fresh]), pa.concat_arrays([self.new[1], ids.filter(pa.array(absent))]))
+        return ids
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool | None]]:
+        """The ids of all texts after each other, their offsets, and of each text whether the library gives the same ids for the whole text; None for None, which has no ids."""
+        segments, first = self.cut(texts)
+        segments = segments.dictionary_encode()
+        found = self.ids_of(segments.dictionary).take(segments.indices)
+        _, places, data = found.buffers()
+        offsets = np.frombuffer(places, np.int64)[first] // 4 if len(found) else np.zeros(len(texts) + 1, np.int64)
+        ids = np.frombuffer(data, "<i4")[: offsets[-1]] if len(found) else np.zeros(0, "<i4")
+        theirs = iter(self.library.encode(texts.drop_null().to_pylist(), return_type="numpy", num_threads=1))
+        return ids, offsets, [np.array_equal(next(theirs), ids[a:b]) if valid else None for valid, a, b in zip(texts.is_valid().to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
     def encode_batch(self, texts: list[str | None]) -> tuple[list[bytes | None], list[bool | None]]:
-        """Of each text its ids as little-endian int32, and whether the library gives the same ids for the whole text; None for None."""
-        parts = [None if t is None else self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {s for s in set().union(*filter(None, parts)) if s not in self.new}
-        held, wanted = {}, []
-        for s in fresh:
-            if (v := self.old.get(s)) is None:
-                wanted.append(s)
-            else:
-                held[s] = v
-        held.update((s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in zip(wanted, self.merge_all(wanted), strict=True))
-        if turned := len(self.new) + len(held) > HELD:
-            self.old, self.new = self.new, {}
-        if len(held) <= HELD:
-            self.new.update(held)
-        # unless the halves were exchanged, the newer one holds all segments of the batch
-        table = _Found(held, self.new, self.old) if turned else self.new
-        out = [None if p is None else b"".join(map(table.__getitem__, p)) for p in parts]
-        theirs = iter(self.library.encode([t for t in texts if t is not None], num_threads=1))
-        return out, [None if b is None else len(b) == 4 * len(ids := next(theirs)) and b == struct.pack(f"<{len(ids)}i", *ids) for b in out]
+        """encode_column() of a list: of each text its ids as little-endian int32, and whether the library agrees; None for None."""
+        ids, offsets, agree = self.encode_column(pa.array(texts, pa.large_string()))
+        return [None if t is None else ids[a:b].tobytes() for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)], agree
 
     def forget(self) -> None:
         """Drop the segments held."""
-        self.new, self.old = {}, {}
+        none = pa.array([], pa.large_binary())
+        self.new = self.old = (none, none)
 
     def round_trips(self, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> list[bool | None]:
         """Whether decoding the ids that encode_batch() gives for each text, here after each other, gives the text back; None for None. The bytes of all pieces are put
@@ -304,20 +374,6 @@ class Codec:
         return joined[1:] if joined[:1] == " " else joined
 
 
-class _Found(dict):
-    """The batch's segments, then those held by the worker."""
-
-    def __init__(self, own: dict[str, bytes], new: dict[str, bytes], old: dict[str, bytes]):
-        super().__init__(own)
-        self.new, self.old = new, old
-
-    def __missing__(self, key: str) -> bytes:
-        v = self.new.get(key)
-        v = self.old[key] if v is None else v
-        self[key] = v
-        return v
-
-
 _CODECS: dict[str, Codec] = {}
 
 
@@ -349,16 +405,12 @@ def encode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id", text:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = batch.column(1).to_pylist()
-                blobs, agree = c.encode_batch(texts)
-                none = np.array([b is None for b in blobs], bool)
-                sizes = np.array([len(b or b"") // 4 for b in blobs])
-                values = np.frombuffer(b"".join(b or b"" for b in blobs), "<i4")
-                offsets = np.zeros(len(blobs) + 1, np.int32)
-                np.cumsum(sizes, out=offsets[1:])
-                trip = c.round_trips(texts, values, offsets)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes, pa.int32(), mask=none), pa.array(trip, pa.bool_()), pa.array(agree, pa.bool_())], names=schema.names)
+                texts = batch.column(1)
+                values, offsets, agree = c.encode_column(texts)
+                none = texts.is_null()
+                trip = c.round_trips(texts.to_pylist(), values, offsets)
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=none)
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(np.diff(offsets), pa.int32(), mask=none.to_numpy(zero_copy_only=False)), pa.array(trip, pa.bool_()), pa.array(agree, pa.bool_())], names=schema.names)
         c.forget()
 
     return docs.select(F.col(id_column), F.col(text)).mapInArrow(run, schema)

@@ -115,6 +115,41 @@ def test_worker_memory_turns_over(monkeypatch):
         assert codec.encode_batch(all_[at : at + 7])[0] == pieces.Codec().encode_batch(all_[at : at + 7])[0]
 
 
+def test_cuts_equal_the_rule_of_one_text():
+    import pyarrow as pa
+
+    codec = pieces.Codec()
+    all_ = [None, "", " ", "   ", "\n", " \n ", "\n\n a  b\r\n\tc ", "\u2581", "a\u2581 \u2581b", "x", "你 好\u2028\U0001f600  \x00", "", None, *texts()]
+    for some in (all_, all_[:3], [], [None], ["", ""]):
+        segments, first = codec.cut(pa.array(some, pa.string()))
+        got = [[s.decode().replace(" ", pieces.SPACE) for s in segments.slice(a, b - a).to_pylist()] for a, b in zip(first[:-1], first[1:])]
+        assert got == [codec.rule(pieces.SPACE + t.replace(" ", pieces.SPACE)) if t else [] for t in some]
+        part = pa.array([*all_[:5], *some], pa.string()).slice(5)
+        assert [x.tolist() if hasattr(x, "tolist") else x for x in codec.encode_column(part)] == [x.tolist() if hasattr(x, "tolist") else x for x in codec.encode_column(pa.array(some, pa.string()))]
+
+
+def test_segments_of_a_task_are_merged_once(monkeypatch):
+    codec = pieces.Codec()
+    monkeypatch.setattr(codec.library, "encode", lambda texts, **_: [[]] * len(texts), raising=False)
+    batches = [[" ".join(f"w{i:x}" for i in range(k, k + 1000)) for k in range(at, at + 50_000, 1000)] for at in range(0, 250_000, 50_000)]
+    first = [codec.encode_batch(b)[0] for b in batches]
+
+    def again(self, left, right):
+        raise AssertionError("a segment was merged again")
+
+    monkeypatch.setattr(pieces._PairTable, "find", again)
+    assert [codec.encode_batch(b)[0] for b in batches] == first
+
+
+def test_nulls_beyond_the_first_slice(spark, library):
+    rows = [(i, None if i % 7 == 3 else "" if i % 7 == 4 else f"text {i} of\n many") for i in range(1203)]
+    out = pieces.encode(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)).collect()
+    want = {i: None if t is None else library.encode(t) for i, t in rows}
+    assert {r["doc_id"]: r["ids"] for r in out} == want and len(out) == len(rows)
+    for r in out:
+        assert (r["n_tokens"], r["round_trip"], r["library_agrees"]) == ((None,) * 3 if r["ids"] is None else (len(r["ids"]), True, True))
+
+
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         pieces.Codec(str(tmp_path / "none.model"))

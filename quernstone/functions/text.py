@@ -5,6 +5,8 @@ White space is the Unicode class that also holds U+001C to U+001F and U+0085, wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,22 +165,38 @@ def is_label_row(row: Column) -> Column:
     return F.exists(row, lambda c: trim_ws(filled(c)).endswith(":"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row; named in a lambda, an expression is made again for each of its elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sheet_text(name: Column, rows: Column, truncated: Column | None = None, preview: int = 20, most: int = 10_000) -> Column:
     """A sheet as text: name, headings, number of rows, then each row as ``heading: value`` pairs."""
-    full = F.transform(rows, lambda r, i: F.struct(i.alias("i"), F.exists(r, lambda c: filled(c).rlike(NOT_WS)).alias("any"), is_label_row(r).alias("label")))
-    at = F.get(F.filter(full, lambda x: x["any"] & ~x["label"]), F.lit(0))["i"]
-    heads = F.transform(F.get(rows, at), lambda c, j: F.coalesce(given(c), F.concat(F.lit("col_"), j.cast("string"))))
-    data = F.slice(rows, at + 2, F.greatest(F.lit(0), F.size(rows) - at - 1))
-    columns = F.concat(F.array_join(F.slice(heads, 1, preview), ", "), F.when(F.size(heads) > preview, F.concat(F.lit(", ... ("), F.size(heads).cast("string"), F.lit(" columns total)"))).otherwise(F.lit("")))
-    note = F.when(truncated, F.lit(f" (truncated to {most})")).otherwise(F.lit("")) if truncated is not None else F.lit("")
-    top = F.concat(F.lit("Sheet: "), name, F.lit("\nColumns: "), columns, F.lit("\nTotal rows: "), F.size(data).cast("string"), note)
-
-    def pairs(r: Column) -> Column:
-        cells = F.zip_with(F.slice(r, F.lit(1), F.size(heads)), F.slice(heads, F.lit(1), F.size(r)), lambda v, h: F.when(filled(v).rlike(NOT_WS), F.concat(h, F.lit(": "), v)))
-        return F.array_join(cells, " | ")
-
-    body = F.filter(F.transform(data, pairs), lambda x: x != "")
-    return F.when(at.isNull(), F.lit("")).otherwise(F.array_join(F.concat(F.array(top), body), "\n\n"))
+
+    def first(at: Column, x: Column) -> Column:
+        return F.when((at < 0) & F.exists(x["r"], lambda c: filled(c).rlike(NOT_WS)) & ~is_label_row(x["r"]), x["i"]).otherwise(at)
+
+    def headed(rows: Column) -> Column:
+        at = F.aggregate(F.transform(rows, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), F.lit(-1), first)
+        return bound(at, lambda at: F.when(F.coalesce(at, F.lit(-1)) < 0, F.lit("")).otherwise(bound(heads(rows, at), lambda h: whole(rows, at, h))))
+
+    def heads(rows: Column, at: Column) -> Column:
+        return F.transform(F.get(rows, at), lambda c, j: F.coalesce(given(c), F.concat(F.lit("col_"), j.cast("string"))))
+
+    def whole(rows: Column, at: Column, heads: Column) -> Column:
+        data = F.slice(rows, at + 2, F.size(rows) - at - 1)
+        columns = F.concat(F.array_join(F.slice(heads, 1, preview), ", "), F.when(F.size(heads) > preview, F.concat(F.lit(", ... ("), F.size(heads).cast("string"), F.lit(" columns total)"))).otherwise(F.lit("")))
+        note = F.when(truncated, F.lit(f" (truncated to {most})")).otherwise(F.lit("")) if truncated is not None else F.lit("")
+        top = F.concat(F.lit("Sheet: "), name, F.lit("\nColumns: "), columns, F.lit("\nTotal rows: "), (F.size(rows) - at - 1).cast("string"), note)
+
+        def pairs(r: Column) -> Column:
+            cells = F.zip_with(F.slice(r, F.lit(1), F.size(heads)), F.slice(heads, F.lit(1), F.size(r)), lambda v, h: F.when(filled(v).rlike(NOT_WS), F.concat(h, F.lit(": "), v)))
+            return F.array_join(cells, " | ")
+
+        body = F.filter(F.transform(data, pairs), lambda x: x != "")
+        return F.array_join(F.concat(F.array(top), body), "\n\n")
+
+    return bound(rows, headed)
 
 
 def markdown_sections(c: Column) -> Column:

@@ -1,6 +1,7 @@
 """Chunk rules against exact small cases and an independent model."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,17 @@ def test_sheets_and_markdown(spark):
     assert value(spark, X.markdown_tables(F.col("t")), t=("string", "|a|b|\n|--|:-:|\n| 1 | |\ntext\n|c|")) == [[["a", "b"], ["1", ""]], [["c"]]]
 
 
+def test_a_long_sheet_takes_time_in_proportion_to_its_rows(spark):
+    n = 3000
+    rows = F.transform(F.sequence(F.lit(1), (F.col("id") + n).cast("int")), lambda i: F.array(i.cast("string"), F.lit("x")))
+    df = spark.range(1).select(F.concat(F.array(F.array(F.lit("A"), F.lit(""))), rows).alias("r")).cache()
+    df.count()
+    began = time.time()
+    (got,) = df.select(X.sheet_text(F.lit("S"), F.col("r"))).first()
+    assert got == f"Sheet: S\nColumns: A, col_1\nTotal rows: {n}\n\n" + "\n\n".join(f"A: {i} | col_1: x" for i in range(1, n + 1))
+    assert time.time() - began < 20
+
+
 def test_names(spark):
     cases = {"/d/A.Tar.GZ": ("A.Tar", ".gz", "gz"), "/d/.hidden": (".hidden", "", "hidden"), "noext": ("noext", "", ""), "/x.y/z": ("z", "", "")}
     for path, want in cases.items():

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.batches import lean, small_batches
 from quernstone.functions import text as X
 
 TARGET, OVERLAP = 500, 50
@@ -69,6 +70,7 @@ def windows(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Colum
     """split_windows() of a column; NULL gives none."""
 
     @F.pandas_udf("array<string>")
+    @lean
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([split_windows(t or "", target, overlap) for t in texts], dtype=object)
@@ -80,6 +82,7 @@ def _block_windows(blocks: Column, target: int, overlap: int) -> Column:
     """For each text of an array its windows of at least LEAST_TOKENS tokens."""
 
     @F.pandas_udf("array<array<string>>")
+    @lean
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in parts:
             yield pd.Series([[[w for w in split_windows(t or "", target, overlap) if estimate(w) >= X.LEAST_TOKENS] for t in (() if row is None else row)] for row in rows], dtype=object)
@@ -107,6 +110,7 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP,
     line that names the slide or sheet. Texts of fewer than LEAST_TOKENS tokens are dropped before numbering, blank
     tables after. ``ord`` is the place in the page. image_embeddings: (doc_id, img_id, embedding) to reuse; identifiers of images are made of file names, so two documents may have the same. count: a chunk's token_cnt from its text, by default the estimate; a tokenizer's exact count is a pandas UDF here.
     """
+    small_batches(pages.sparkSession)
     p = pages
     for field in PAGE.split(", ", 1)[1].split(", "):
         name, kind = field.split(" ", 1)

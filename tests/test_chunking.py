@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,20 @@ def test_elements_keep_their_order(spark):
     assert chunking.chunk_pages(pages(spark)).count() == 0
 
 
+def test_workers_get_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    @F.pandas_udf("int")
+    def batch_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts), dtype="int32")
+
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word word word"), 2000))
+    docs = spark.range(0, 500, 1, 1).select(F.col("id").cast("string").alias("doc_id"), F.lit("d").alias("base_name"), F.lit(1).alias("pg_num"), text.alias("txt"))
+    got = chunking.chunk_pages(docs, count=batch_bytes).select("doc_id", "content", "token_cnt").collect()
+    assert sorted((r.doc_id, r.content) for r in got) == sorted((str(i), f"{i}" + " word word word" * 2000) for i in range(500))
+    assert max(r.token_cnt for r in got) < 3 << 20
+
+
 def test_index_documents(spark):
     chunks = chunking.chunk_pages(pages(spark, txt="Some words to keep here."))
     headers = spark.createDataFrame([("d", "My.Doc.PDF", "/in/My.Doc.PDF", 4)], "doc_id string, file_name string, file_path string, total_pgs int")
